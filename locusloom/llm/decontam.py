@@ -239,7 +239,7 @@ def shards(items: DataFrame, item_id: str, text: str, threshold: float, overlap:
     def count(frames):
         for f in frames:
             tokens = [words(t) for t in f["t"]]
-            yield pd.DataFrame([(w, 1, 0) for t in tokens for w in set(t)] + [(None, len(t) > 0, len(t)) for t in tokens], columns=["w", "n", "len"])
+            yield pd.DataFrame([(w, 1, 0) for t in tokens for w in set(t)] + [(None, int(len(t) > 0), len(t)) for t in tokens], columns=["w", "n", "len"])
 
     stats = rows.mapInPandas(count, "w string, n long, len long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("len").alias("len"))
     total = stats.where("w is null").first()
