@@ -23,13 +23,21 @@ ORDERS = (1, 2, 3)
 CHUNK = 1 << 19  # code points scored at once
 UND = "und"
 _LETTER: np.ndarray | None = None
+_SEEN: np.ndarray | None = None
 
 
-def _letters() -> np.ndarray:
-    global _LETTER
+def _letters(points: np.ndarray) -> np.ndarray:
+    """Which code points are letters; asks Python once for each 256 of them that occur."""
+    global _LETTER, _SEEN
     if _LETTER is None:
-        _LETTER = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    return _LETTER
+        _LETTER, _SEEN = np.zeros(0x110000, bool), np.zeros(0x1100, bool)
+    pages = points >> np.uint32(8)
+    if not _SEEN[pages].all():
+        for p in np.unique(pages):
+            if not _SEEN[p]:
+                _LETTER[int(p) << 8 : (int(p) + 1) << 8] = [chr(i).isalpha() for i in range(int(p) << 8, (int(p) + 1) << 8)]
+                _SEEN[p] = True
+    return _LETTER[points]
 
 
 def normalise(text: str | None) -> np.ndarray:
@@ -37,7 +45,7 @@ def normalise(text: str | None) -> np.ndarray:
     if not text:
         return np.empty(0, np.uint32)
     points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
-    letter = _letters()[points]
+    letter = _letters(points)
     points = np.where(letter, points, np.uint32(32))
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first space after a letter

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, mixing, quality, tokenbin
+from . import decontam, fingerprint, langid, mixing, quality, tokenbin, warc
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,10 +42,23 @@ def op10_tokenbin(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_fingerprint": op2_fingerprint,
+    "op3_warc": op3_warc,
     "op4_decontam": op4_decontam,
     "op5_langid": op5_langid,
     "op8_quality": op8_quality,
     "op10_tokenbin": op10_tokenbin,
 }
 
-SQL: dict[str, str] = {}
+OP3 = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS payload, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages
+), k AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload) END AS keeper FROM p
+)
+SELECT page_id, payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < keeper THEN keeper END AS refers_to
+FROM k
+"""
+
+SQL: dict[str, str] = {"op3_warc": OP3}

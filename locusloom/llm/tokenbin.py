@@ -39,8 +39,8 @@ from .common import bounded, filesystem, parts_of, range_parts, work_path
 
 BLOCK, PERCENTILE = 1024, 0.95
 MAGIC = b"PFOR1\0"
-HEAD = struct.Struct("<IBHH")
-TAIL = struct.Struct("<QQQQ6s")
+HEAD, HEAD_SIZE = "<IBHH", 9
+TAIL, TAIL_SIZE = "<QQQQ6s", 38
 ASCII_SPACE = re.compile("[ \\t\\n\\r\\x0b\\x0c]+")
 
 
@@ -147,13 +147,13 @@ def pack(ids: np.ndarray) -> Iterator[bytes]:
             for j, i in enumerate(rows):
                 over = np.flatnonzero(high[j, : sizes[i]])
                 body = lows[j, : -(-int(sizes[i]) * int(w) // 8)].tobytes() if w else b""
-                packed[i] = HEAD.pack(low[i], w, sizes[i], over.size) + over.astype("<u2").tobytes() + high[j, over].astype("<u4").tobytes() + body
+                packed[i] = struct.pack(HEAD, low[i], w, sizes[i], over.size) + over.astype("<u2").tobytes() + high[j, over].astype("<u4").tobytes() + body
         yield from packed
 
 
 def unpack(data: bytes, starts: np.ndarray) -> np.ndarray:
     """The ids of consecutive blocks; ``starts`` has their places in ``data``."""
-    heads = [HEAD.unpack_from(data, s) for s in starts]
+    heads = [struct.unpack_from(HEAD, data, s) for s in starts]
     out = np.empty(sum(h[2] for h in heads), np.uint32)
     first = np.concatenate(([0], np.cumsum([h[2] for h in heads]))).astype(np.int64)
     groups: dict[tuple[int, int], list[int]] = {}
@@ -162,7 +162,7 @@ def unpack(data: bytes, starts: np.ndarray) -> np.ndarray:
     for (w, n), rows in groups.items():
         size = -(-n * w // 8)
         if w:
-            raw = np.stack([np.frombuffer(data, np.uint8, size, int(starts[i]) + HEAD.size + 6 * heads[i][3]) for i in rows])
+            raw = np.stack([np.frombuffer(data, np.uint8, size, int(starts[i]) + HEAD_SIZE + 6 * heads[i][3]) for i in rows])
             bits = np.unpackbits(raw, axis=1, count=n * w, bitorder="little").reshape(len(rows), n, w)
             values = np.zeros((len(rows), n), np.uint32)
             for b in range(w):
@@ -171,7 +171,7 @@ def unpack(data: bytes, starts: np.ndarray) -> np.ndarray:
             values = np.zeros((len(rows), n), np.uint32)
         for j, i in enumerate(rows):
             minimum, _, _, over = heads[i]
-            at = int(starts[i]) + HEAD.size
+            at = int(starts[i]) + HEAD_SIZE
             if over:
                 where = np.frombuffer(data, "<u2", over, at)
                 values[j, where] |= (np.frombuffer(data, "<u4", over, at + 2 * over).astype(np.uint64) << np.uint64(w)).astype(np.uint32)
@@ -208,7 +208,7 @@ class Writer:
         for k in range(3):
             for d in self.docs:
                 self.sink.write(d[k].tobytes())
-        self.sink.write(TAIL.pack(self.at, len(self.starts), n, self.ids, MAGIC))
+        self.sink.write(struct.pack(TAIL, self.at, len(self.starts), n, self.ids, MAGIC))
         return n, self.ids
 
 
@@ -217,12 +217,12 @@ class Reader:
 
     def __init__(self, source):
         self.source, size = source, source.size()
-        source.seek(size - TAIL.size)
-        index, blocks, self.n_docs, self.n_ids, magic = TAIL.unpack(source.read(TAIL.size))
+        source.seek(size - TAIL_SIZE)
+        index, blocks, self.n_docs, self.n_ids, magic = struct.unpack(TAIL, source.read(TAIL_SIZE))
         if magic != MAGIC:
             raise ValueError("not a token file")
         source.seek(index)
-        tail = source.read(size - TAIL.size - index)
+        tail = source.read(size - TAIL_SIZE - index)
         self.starts = np.append(np.frombuffer(tail, "<u8", blocks), index).astype(np.int64)
         at = 8 * blocks
         self.doc_ids = np.frombuffer(tail, "<i8", self.n_docs, at)
