@@ -1 +1,8 @@
 """Spark-native analytics over feature-by-sample matrices, genomic intervals and text corpora."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions travel to the executors whole, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
