@@ -40,12 +40,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(df: DataFrame | None) -> None:
-    """Delete a table made by :func:`materialise` that nothing reads any more."""
+    """Delete a table made by :func:`materialise` that nothing reads any more, and let Spark drop shuffles that nothing reads."""
     path = getattr(df, "_work_path", None)
     if path:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
+        jvm.System.gc()  # shuffle files go when the driver has collected the plans that made them
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, mixing, quality, tokenbin, warc
+from . import decontam, fingerprint, langid, mixing, quality, substring, tokenbin, warc
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_tokenbin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontam": op4_decontam,
     "op5_langid": op5_langid,
     "op8_quality": op8_quality,
+    "op9_substring": op9_substring,
     "op10_tokenbin": op10_tokenbin,
 }
 
@@ -61,4 +66,19 @@ SELECT page_id, payload_bytes, sha1(payload) AS payload_digest,
 FROM k
 """
 
-SQL: dict[str, str] = {"op3_warc": OP3}
+OP9 = """
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), x AS (
+    SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS p FROM w WHERE len(words) >= 13
+), g AS (
+    SELECT doc_id, p, min(doc_id) OVER (PARTITION BY array_to_string(words[p:p + 12], ' ')) AS low FROM x
+), gone AS (
+    SELECT doc_id, list(DISTINCT c) AS at FROM (SELECT doc_id, unnest(range(p, p + 13)) AS c FROM g WHERE low < doc_id) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone.at), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(words) + 1), lambda i: gone.at IS NULL OR NOT list_contains(gone.at, i)), lambda i: words[i]), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op3_warc": OP3, "op9_substring": OP9}
