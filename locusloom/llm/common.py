@@ -56,6 +56,19 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
+def row_ids(docs: DataFrame, tag: str) -> tuple[DataFrame, bool]:
+    """Rows (rid, doc_id, text): rid is the doc_id where all ids are there and different (True), else a number of our own.
+
+    Numbers of our own are fixed by writing the rows down.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    n = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    doubled = n["n"] and rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if n["n"] == n["known"] and not doubled:
+        return rows.select(F.col("doc_id").alias("rid"), "doc_id", "text"), True
+    return materialise(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), tag), False
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, mixing, quality, substring, tokenbin, warc
+from . import decontam, fingerprint, langid, mixing, neardup, quality, substring, tokenbin, warc
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_decontam": op4_decontam,
     "op5_langid": op5_langid,
+    "op6_neardup": op6_neardup,
     "op8_quality": op8_quality,
     "op9_substring": op9_substring,
     "op10_tokenbin": op10_tokenbin,

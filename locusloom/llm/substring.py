@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, materialise
+from .common import bounded, discard, materialise, row_ids
 
 LENGTH = 13
 ROUNDS = 2
@@ -255,15 +255,7 @@ def cut(words: list[bytes], windows: np.ndarray | None) -> tuple[int, list[bytes
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (rid, doc_id, text), and (rid, windows): where the windows begin that an earlier document has too."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    ids = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("known"), F.max("doc_id").alias("top")).first()
-    doubled = ids["n"] and rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    unique = ids["n"] == ids["known"] and not doubled
-    if unique:
-        rows = rows.select(F.col("doc_id").alias("rid"), "doc_id", "text")
-    else:  # numbers of our own, fixed by writing them down
-        rows = materialise(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "substring-rows")
-
+    rows, unique = row_ids(docs, "substring-rows")
     found = materialise(find_anchors(rows), "substring-anchors")
     shared = materialise(found.where("key is not null").groupBy("key").count().where("count > 1").select("key"), "substring-shared")
     places = found.join(shared, "key", "left_semi").select("rid", "place").unionByName(found.where("key is null").select("rid", "place"))
