@@ -11,7 +11,11 @@ from statistics import NormalDist
 import numpy as np
 
 TINY = 2.2250738585072014e-308
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _lgamma(x):
+    x = np.asarray(x, float)
+    return np.fromiter(map(math.lgamma, x.ravel()), float, x.size).reshape(x.shape)
 
 
 def betainc(a, b, x):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,9 +81,6 @@ def reference_bias(df: DataFrame, min_sites: int = 200, quantile: float = 0.75,
     A pair with at least ``min_sites`` has its own ratio, others the ratio of all together. Sites deeper than the
     quantile of their set are thinned to it by a seeded binomial draw, so a few deep sites don't decide.
     """
-    import numpy as np
-    import pandas as pd
-
     total = F.col("ref_count") + F.col("alt_count")
     ok = df.withColumn("total", total).where(F.col("total") >= min_cov)
     if both_seen:

@@ -60,9 +60,9 @@ def _block(g: pd.DataFrame, column: str) -> np.ndarray:
 
 
 def _grouped(phenotypes: DataFrame, variants: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """Phenotypes, and the variants in the window of each group's first member (pid order), both keyed by grp."""
+    """Phenotypes, and the variants in the window of each group's first member (pid order), keyed by grp and vgrp."""
     first = phenotypes.withColumn("_k", F.row_number().over(Window.partitionBy("grp").orderBy("pid"))).where("_k = 1").select(F.col("grp"), "chr", "start", "end", "neg")
-    return phenotypes, cis_pairs(first, variants, window).select("grp", "vid", "vstart", "vend", "dist", "gvals")
+    return phenotypes, cis_pairs(first, variants, window).select(F.col("grp").alias("vgrp"), "vid", "vstart", "vend", "dist", "gvals")
 
 
 PERMUTED = "grp string, pid string, n_var_in_cis int, dist long, vid string, dof1 double, dof2 double, bml1 double, bml2 double, nom_pval double, r_squared double, slope double, slope_se double, adj_emp_pval double, adj_beta_pval double"
@@ -108,7 +108,7 @@ def cis_permute(phenotypes: DataFrame, variants: DataFrame, window: int = 1_000_
                 row["adj_beta_pval"] = float(stats.betainc(row["bml1"], row["bml2"], stats.corr_p(r[i, j], row["dof2"])))
         return pd.DataFrame([row])
 
-    return p.groupBy("grp").cogroup(g.groupBy("grp")).applyInPandas(kernel, PERMUTED)
+    return p.groupBy("grp").cogroup(g.groupBy("vgrp")).applyInPandas(kernel, PERMUTED)
 
 
 CONDITIONAL = "grp string, pid string, vid string, dist long, rank int, fwd_pval double, fwd_r_squared double, fwd_slope double, fwd_best_hit int, fwd_sig int, bwd_pval double, bwd_r_squared double, bwd_slope double, bwd_best_hit int, bwd_sig int"
@@ -162,7 +162,7 @@ def cis_conditional(phenotypes: DataFrame, variants: DataFrame, thresholds: Data
                 rows.append((key[0], pg["pid"].iloc[i], gg["vid"].iloc[j], int(gg["dist"].iloc[j]), k, fp[i, j], fr[i, j] ** 2, fs[i, j], int(at == f_best), int(fp[i, j] <= limit[i, 0]), bp[i, j], br[i, j] ** 2, bs[i, j], int(at == b_best), int(bp[i, j] <= limit[i, 0])))
         return pd.DataFrame(rows, columns=names)
 
-    return p.groupBy("grp").cogroup(g.groupBy("grp")).applyInPandas(kernel, CONDITIONAL)
+    return p.groupBy("grp").cogroup(g.groupBy("vgrp")).applyInPandas(kernel, CONDITIONAL)
 
 
 def phenotype_blocks(phenotypes: DataFrame, kernel=None):

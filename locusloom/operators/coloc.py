@@ -69,7 +69,7 @@ def rtc(pairs: DataFrame, phenotypes: DataFrame, genotypes: DataFrame, regions:
     b = regions.select(F.col("vid").alias("qtl_vid"), F.col("region").alias("rb"))
     ok = pairs.join(a, "gwas_vid").join(b, "qtl_vid").where("ra = rb and ra >= 0").join(phenotypes.select("pid", "vals"), "pid")
     ok = ok.select(F.col("ra").alias("region"), "pid", "gwas_vid", "qtl_vid", "others", "vals")
-    g = regions.where("region >= 0").join(genotypes.select("vid", "gvals"), "vid").select("region", "vid", "gvals")
+    g = regions.where("region >= 0").join(genotypes.select("vid", "gvals"), "vid").select(F.col("region").alias("vregion"), "vid", "gvals")
     extra = ", p double, median_h0 double, median_h1 double, h0_share double, n_h0 int, n_h1 int" if simulate else ""
 
     def kernel(key, pg: pd.DataFrame, gg: pd.DataFrame) -> pd.DataFrame:
@@ -93,7 +93,7 @@ def rtc(pairs: DataFrame, phenotypes: DataFrame, genotypes: DataFrame, regions:
             rows.append(row)
         return pd.DataFrame(rows, columns=names)
 
-    return ok.groupBy("region").cogroup(g.groupBy("region")).applyInPandas(kernel, RTC + extra)
+    return ok.groupBy("region").cogroup(g.groupBy("vregion")).applyInPandas(kernel, RTC + extra)
 
 
 def simulated(y: np.ndarray, x: np.ndarray, qtl: int, score: float, n: int, ld: float, rng, normal: bool) -> list:

@@ -34,12 +34,11 @@ def merge(df: DataFrame, chrom: str = "chr", start: str = "start", end: str = "e
 def tile(hotspots: DataFrame, chrom: str = "chr", start0: str = "start0", end: str = "end") -> DataFrame:
     """A tiling of each chromosome: (idx, chr, start, end, type) with a coldspot before each hotspot and one after the last."""
     w = Window.partitionBy(chrom).orderBy(start0)
-    before = F.lag(end).over(w)
-    rows = hotspots.select(
+    rows = hotspots.withColumn("_before", F.lag(end).over(w)).select(
         F.col(chrom).alias("chr"),
         F.explode(
             F.array(
-                F.struct(F.coalesce(before + 1, F.lit(0)).cast("long").alias("start"), F.col(start0).cast("long").alias("end"), F.lit("CS").alias("type")),
+                F.struct(F.coalesce(F.col("_before") + 1, F.lit(0)).cast("long").alias("start"), F.col(start0).cast("long").alias("end"), F.lit("CS").alias("type")),
                 F.struct((F.col(start0) + 1).cast("long").alias("start"), F.col(end).cast("long").alias("end"), F.lit("HS").alias("type")),
             )
         ).alias("r"),
