@@ -175,7 +175,7 @@ def quantify(reads: DataFrame, exons: DataFrame, bin_size: int = 100_000, consis
     hit = hit.select("qname", "rev", "gene_id", "exon_id", "k", F.greatest("bs", "es").alias("lo"), F.least("be", "ee").alias("hi"))
     other = hit.select("qname", "gene_id", "exon_id", (~F.col("rev")).alias("rev"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"))
     both = hit.join(other, ["qname", "rev", "gene_id", "exon_id"], "left")
-    shared = F.greatest(F.least("hi", "ohi") - F.greatest("lo", "olo") + 1, F.lit(0))
+    shared = F.when(F.col("olo").isNull(), 0).otherwise(F.greatest(F.least("hi", "ohi") - F.greatest("lo", "olo") + 1, F.lit(0)))
     seg = both.groupBy("qname", "rev", "gene_id", "exon_id", "k", "lo", "hi").agg(F.coalesce(F.sum(shared), F.lit(0)).alias("both"))
     per = seg.groupBy("qname", "rev", "gene_id", "exon_id").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("bases"), F.sum("both").alias("both"), F.collect_set("k").alias("ks"))
     mate = Window.partitionBy("qname", "rev", "gene_id")

@@ -28,6 +28,11 @@ def query(sql: str | None = None):
     return add
 
 
+def longs(sql: str, *names: str) -> str:
+    """SQL whose counts come back as 64-bit integers."""
+    return f"SELECT * REPLACE ({', '.join(f'CAST({n} AS BIGINT) AS {n}' for n in names)}) FROM ({sql})"
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     """Six places, and no negative zero."""
     return df.withColumns({c: F.round(F.col(c), 6) + F.lit(0.0) for c in names})
@@ -474,12 +479,12 @@ def _pile(spark, sf):
     return li.select(F.col("l_partkey").alias("site"), F.lit("A").alias("ref"), F.lit("R").alias("alt"), F.when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 1), "X").otherwise(F.col("l_returnflag")).alias("base"), F.col("l_quantity").cast("int").alias("baseq"))
 
 
-@query(f"WITH {PILE} SELECT site, count_if(base = 'A') AS ref_count, count_if(base = 'R') AS alt_count, count_if(base = 'X') AS other_count, count(*) AS depth, coalesce(array_to_string(list_sort(list(DISTINCT base) FILTER (base <> 'N')), ','), '') AS alleles_seen, round(coalesce(sum(pow(10, -baseq / 10)) FILTER (base <> 'N'), 0), 6) AS expected_errors FROM b GROUP BY site")
+@query(longs(f"WITH {PILE} SELECT site, count_if(base = 'A') AS ref_count, count_if(base = 'R') AS alt_count, count_if(base = 'X') AS other_count, count(*) AS depth, coalesce(array_to_string(list_sort(list(DISTINCT base) FILTER (base <> 'N')), ','), '') AS alleles_seen, round(coalesce(sum(pow(10, -baseq / 10)) FILTER (base <> 'N'), 0), 6) AS expected_errors FROM b GROUP BY site", "ref_count", "alt_count", "other_count"))
 def a27_j26_pileup_counts(spark, sf):
     return rounded(reads.allele_counts(_pile(spark, sf), ["site"]), "expected_errors")
 
 
-@query(f"WITH {PILE}, c AS (SELECT site, count_if(base = 'A') AS r, count_if(base = 'R') AS a FROM b GROUP BY site), g AS (SELECT p_partkey AS site, s AS sample, CASE WHEN (p_partkey + s) % 11 = 0 THEN NULL ELSE (p_partkey * (s + 1)) % 3 END AS d FROM part, (SELECT unnest(range(0, 5)) AS s)), j AS (SELECT sample, d, coalesce(r, 0) AS r, coalesce(a, 0) AS a FROM g LEFT JOIN c USING (site)) SELECT sample, count_if(d IS NULL) AS n_missing, count_if(d = 1) AS n_het, count_if(d IN (0, 2)) AS n_hom, count_if(d = 1 AND r + a >= 10) AS n_het_covered, count_if(d IN (0, 2) AND r + a >= 10) AS n_hom_covered, count_if(d = 1 AND r + a >= 10 AND r > 0 AND a > 0) AS n_het_consistent, count_if(d IN (0, 2) AND r + a >= 10 AND (r = 0 OR a = 0)) AS n_hom_consistent FROM j GROUP BY sample")
+@query(longs(f"WITH {PILE}, c AS (SELECT site, count_if(base = 'A') AS r, count_if(base = 'R') AS a FROM b GROUP BY site), g AS (SELECT p_partkey AS site, s AS sample, CASE WHEN (p_partkey + s) % 11 = 0 THEN NULL ELSE (p_partkey * (s + 1)) % 3 END AS d FROM part, (SELECT unnest(range(0, 5)) AS s)), j AS (SELECT sample, d, coalesce(r, 0) AS r, coalesce(a, 0) AS a FROM g LEFT JOIN c USING (site)) SELECT sample, count_if(d IS NULL) AS n_missing, count_if(d = 1) AS n_het, count_if(d IN (0, 2)) AS n_hom, count_if(d = 1 AND r + a >= 10) AS n_het_covered, count_if(d IN (0, 2) AND r + a >= 10) AS n_hom_covered, count_if(d = 1 AND r + a >= 10 AND r > 0 AND a > 0) AS n_het_consistent, count_if(d IN (0, 2) AND r + a >= 10 AND (r = 0 OR a = 0)) AS n_hom_consistent FROM j GROUP BY sample", "n_missing", "n_het", "n_hom", "n_het_covered", "n_hom_covered", "n_het_consistent", "n_hom_consistent"))
 def a31_mbv(spark, sf):
     c = reads.allele_counts(_pile(spark, sf), ["site"])
     k, s = F.col("p_partkey"), F.col("sample")
@@ -527,7 +532,7 @@ def f6_f16_f18_site_waterfall(spark, sf):
     return ase.sites(_sites(spark, sf), b, 50, min_imp=0.1).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {PILE}, c AS (SELECT site, count_if(base = 'A') AS r, count_if(base = 'R') AS a FROM b GROUP BY site) SELECT site, r + a AS total, round(r / (r + a), 6) AS ref_ratio, round(CASE WHEN 2 * r = r + a THEN 1.0 ELSE least(1.0, (SELECT sum(exp(lgamma(r + a + 1.0) - lgamma(k + 1.0) - lgamma(r + a - k + 1.0) + (r + a) * ln(0.5))) FROM range(0, CAST(r + a + 1 AS BIGINT)) AS t(k) WHERE abs(2 * k - (r + a)) >= abs(2 * r - (r + a)))) END, 6) AS pval FROM c WHERE r + a >= 16")
+@query(longs(f"WITH {PILE}, c AS (SELECT site, count_if(base = 'A') AS r, count_if(base = 'R') AS a FROM b GROUP BY site) SELECT site, r + a AS total, round(r / (r + a), 6) AS ref_ratio, round(CASE WHEN 2 * r = r + a THEN 1.0 ELSE least(1.0, (SELECT sum(exp(lgamma(r + a + 1.0) - lgamma(k + 1.0) - lgamma(r + a - k + 1.0) + (r + a) * ln(0.5))) FROM range(0, CAST(r + a + 1 AS BIGINT)) AS t(k) WHERE abs(2 * k - (r + a)) >= abs(2 * r - (r + a)))) END, 6) AS pval FROM c WHERE r + a >= 16", "total"))
 def a29_ase_test(spark, sf):
     out = ase.test_sites(reads.allele_counts(_pile(spark, sf), ["site", "ref", "alt"]))
     return rounded(out, "ref_ratio", "pval").select("site", "total", "ref_ratio", "pval")
