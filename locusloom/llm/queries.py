@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, mixing, neardup, quality, substring, tokenbin, warc
+from . import decontam, fingerprint, langid, licenses, mixing, neardup, quality, substring, tokenbin, warc
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontam": op4_decontam,
     "op5_langid": op5_langid,
     "op6_neardup": op6_neardup,
+    "op7_licenses": op7_licenses,
     "op8_quality": op8_quality,
     "op9_substring": op9_substring,
     "op10_tokenbin": op10_tokenbin,
