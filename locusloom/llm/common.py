@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,7 +47,13 @@ def discard(df: DataFrame | None) -> None:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
-        jvm.System.gc()  # shuffle files go when the driver has collected the plans that made them
+        release(df.sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files go when the driver has collected the plans that made them: let it do so now."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:

@@ -18,12 +18,15 @@ the same anchors at the same places. Each window picks the anchor with the small
 picked anchors matter (about one for each five words). A window without an anchor, as in very regular text, is
 *bare*.
 
-**Spark rounds.** (1) Name all documents and count picked anchors: for each name the smallest and the largest row it
-occurs in. An anchor seen in one document only proves its windows unique. (2) Anchors that are shared, joined back to
-their places, and all bare windows, give the windows still to judge; each is named by 128 bits over its 13 words, and
-the smallest doc_id of each name is found. (3) Windows whose name has a smaller doc_id than their own are merged into
-ranges by document and cut out. Only (name, document) rows move, never texts; names are pre-aggregated before each
-shuffle, so a passage that a third of all documents share costs no more than one that two share.
+**Spark rounds.** (1) Name all documents and count picked anchors. An anchor that occurs once proves its windows
+unique. (2) An anchor's *context* is all words of the windows it belongs to. Where an earlier document has the same
+anchor in the same context, all its windows are known to repeat, by one comparison of names; inside long copies
+nothing else is left. The first document with a context keeps it open, and if an anchor has several open contexts
+(the ends of repeats) their windows are judged one by one: if an earlier document holds a window, then the earliest
+that does has it in an open context of the same anchor. (3) Those windows, and all bare ones, are named by 96 bits over
+their 13 words, and the smallest doc_id of each name is found. (4) Windows known to repeat are cut out. Names are
+pre-aggregated before each shuffle, so a passage that a third of all documents share costs no more than one that two
+share.
 
 Edge cases: null and empty texts have no words; kept words of a text without any are the empty string; documents under
 13 words lose nothing; rows with the same doc_id are one document for "smaller", each has its own result; a null doc_id
@@ -41,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, materialise, row_ids
+from .common import bounded, discard, materialise, release, row_ids
 
 LENGTH = 13
 ROUNDS = 2
@@ -168,6 +171,18 @@ def picked(lo: np.ndarray, hi: np.ndarray, key: np.ndarray, n: np.ndarray) -> tu
     return chosen, window & (best == np.iinfo(np.uint64).max)
 
 
+def contexts(name, lo, hi, base, n, doc) -> np.ndarray:
+    """32 bits over all words of the windows that an anchor belongs to, and over where the document ends among them."""
+    out = np.zeros(lo.size, np.uint64)
+    begin, end = (base[lo], base[lo] + n[doc[lo]]) if lo.size else (lo, lo)
+    for k in range(2 * LENGTH):
+        at = hi - LENGTH + k
+        inside = (at >= begin) & (at < end)
+        word = np.where(inside, name[np.clip(at, 0, max(name.size - 1, 0))], M1) if lo.size else out
+        out = np.where(at < lo + LENGTH, mix64(out * M3 + word + np.uint64(k)), out)
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def window_names(name: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits over the LENGTH words that begin at each place."""
     one, two = np.zeros(at.size, np.uint64), np.zeros(at.size, np.uint64)
@@ -191,7 +206,7 @@ def _ranges(flags: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def find_anchors(rows: DataFrame) -> DataFrame:
-    """Picked anchors and bare windows of each row: key (null: bare), rid, and the place: first window << 32 | windows."""
+    """Picked anchors and bare windows of each row: key (null: bare), name of the context, rid, and the place: first window << 32 | windows."""
 
     def run(batches):
         names = Names()
@@ -202,6 +217,7 @@ def find_anchors(rows: DataFrame) -> DataFrame:
             lo, hi, key = anchors(name, doc)
             chosen, bare = picked(lo, hi, key, n)
             lo, hi, key = lo[chosen], hi[chosen], key[chosen]
+            context = contexts(name, lo, hi, base, n, doc)
             first = np.maximum(hi - LENGTH, base[lo]) if lo.size else lo
             last = np.minimum(lo, base[lo] + n[doc[lo]] - LENGTH) if lo.size else lo
             at, length = _ranges(bare, doc)
@@ -210,9 +226,10 @@ def find_anchors(rows: DataFrame) -> DataFrame:
             begin, size = np.concatenate((first, at)), np.concatenate((last - first + 1, length))
             place = (begin - base[begin] if begin.size else begin) << 32 | size
             keys = pa.array(np.concatenate((key.view(np.int64), np.zeros(at.size, np.int64))), mask=np.arange(begin.size) >= lo.size)
-            yield pa.RecordBatch.from_arrays([keys, pa.array(rid[owner]), pa.array(place)], ["key", "rid", "place"])
+            context = np.concatenate((context, np.zeros(at.size, np.int32)))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(context), pa.array(rid[owner]), pa.array(place)], ["key", "context", "rid", "place"])
 
-    return rows.select("rid", "text").mapInArrow(run, "key long, rid long, place long")
+    return rows.select("rid", "text").mapInArrow(run, "key long, context int, rid long, place long")
 
 
 def name_windows(rows: DataFrame) -> DataFrame:
@@ -243,34 +260,48 @@ def name_windows(rows: DataFrame) -> DataFrame:
 
 
 def cut(words: list[bytes], windows: np.ndarray | None) -> tuple[int, list[bytes]]:
-    """How many words the windows that begin at these places cover, and the words left."""
+    """How many words the windows of these places (first window << 32 | windows) cover, and the words left."""
     if windows is None or not len(windows):
         return 0, words
     flag = np.zeros(len(words) + 1, np.int32)
-    np.add.at(flag, windows, 1)
-    np.add.at(flag, windows + LENGTH, -1)
+    first = windows >> 32
+    np.add.at(flag, first, 1)
+    np.add.at(flag, first + (windows & 0xFFFFFFFF) + (LENGTH - 1), -1)
     gone = np.cumsum(flag[:-1]) > 0
     return int(gone.sum()), [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
 
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (rid, doc_id, text), and (rid, windows): where the windows begin that an earlier document has too."""
+    """Rows (rid, doc_id, text), and (rid, windows): the places of windows that an earlier document has too."""
     rows, unique = row_ids(docs, "substring-rows")
     found = materialise(find_anchors(rows), "substring-anchors")
     shared = materialise(found.where("key is not null").groupBy("key").count().where("count > 1").select("key"), "substring-shared")
-    places = found.join(shared, "key", "left_semi").select("rid", "place").unionByName(found.where("key is null").select("rid", "place"))
-    places = materialise(places.groupBy("rid").agg(F.collect_set("place").alias("places")), "substring-places")
+    release(docs.sparkSession)
+    known = materialise(found.join(shared, "key", "left_semi"), "substring-known")
+    bare = materialise(found.where("key is null").select("rid", "place"), "substring-bare")
     discard(found)
     discard(shared)
 
+    order = rows.select("rid", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"))
+    with_order = lambda df: df.withColumn("d", F.col("rid")) if unique else df.join(order, "rid")
+    first = with_order(known).groupBy("key", "context").agg(F.min("d").alias("low"))
+    first = materialise(first, "substring-contexts")
+    several = first.groupBy("key").agg(F.count("*").alias("open")).where("open > 1").select("key")
+    judged = with_order(known).join(first, ["key", "context"])
+    repeats = materialise(judged.where("low < d").select("rid", "place"), "substring-repeats")
+    unsure = judged.where("low = d").select("key", "rid", "place").join(several, "key", "left_semi").select("rid", "place")
+    places = materialise(unsure.unionByName(bare).groupBy("rid").agg(F.collect_set("place").alias("places")), "substring-places")
+    for df in (known, bare, first):
+        discard(df)
+
     windows = materialise(name_windows(rows.join(places, "rid")), "substring-windows")
     discard(places)
-    ordered = windows.withColumn("d", F.col("rid")) if unique else windows.join(rows.select("rid", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d")), "rid")
+    ordered = with_order(windows)
     mins = materialise(ordered.groupBy("w1", "w2").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("w1", "w2", "low"), "substring-mins")
-    gone = ordered.join(mins, ["w1", "w2"]).where("low < d").select("rid", "pos")
-    gone = materialise(gone.groupBy("rid").agg(F.collect_set("pos").alias("windows")), "substring-gone")
-    discard(windows)
-    discard(mins)
+    single = ordered.join(mins, ["w1", "w2"]).where("low < d").select("rid", (F.col("pos").cast("long") * (1 << 32) + 1).alias("place"))
+    gone = materialise(single.unionByName(repeats).groupBy("rid").agg(F.collect_set("place").alias("windows")), "substring-gone")
+    for df in (windows, mins, repeats):
+        discard(df)
     return rows, gone
 
 
