@@ -285,3 +285,29 @@ def replicate(pairs: DataFrame, p_long: DataFrame, g_long: DataFrame) -> DataFra
     """The listed pairs only: (pid, vid); pairs with an unknown id drop out."""
     obs = pairs.select("pid", "vid").distinct().join(p_long, "pid").join(g_long, ["vid", "sample"])
     return pair_stats(obs, ["pid", "vid"])
+
+
+def best_in_region(regions: DataFrame, phenotypes: DataFrame, genotypes: DataFrame) -> DataFrame:
+    """The best variant of each (region, pid) among the region's variants, with its p-value: one task holds a region.
+
+    ``regions``: (region, pid, vid). Ties go to the smallest id.
+    """
+    p = regions.select("region", "pid").distinct().join(phenotypes.select("pid", "vals"), "pid")
+    g = regions.select(F.col("region").alias("vregion"), "vid").distinct().join(genotypes.select("vid", "gvals"), "vid")
+
+    def kernel(key, pg: pd.DataFrame, gg: pd.DataFrame) -> pd.DataFrame:
+        if not len(pg) or not len(gg):
+            return pd.DataFrame([], columns=["region", "pid", "vid", "pval"])
+        gg = gg.sort_values("vid")
+        y, x = _block(pg, "vals"), _block(gg, "gvals")
+        r = y @ x.T
+        j = np.abs(r).argmax(axis=1)
+        return pd.DataFrame({"region": key[0], "pid": pg["pid"].to_numpy(), "vid": gg["vid"].to_numpy()[j], "pval": stats.corr_p(r[np.arange(len(pg)), j], y.shape[1] - 2)})
+
+    return p.groupBy("region").cogroup(g.groupBy("vregion")).applyInPandas(kernel, f"region {regions.schema['region'].dataType.simpleString()}, pid string, vid string, pval double")
+
+
+def dataset_pairs(beds: list[str], qtls: list[str]) -> list[tuple[str, str]]:
+    """Every file of phenotypes with every list of QTLs, but a dataset with its own list where both have equally many."""
+    same = len(beds) == len(qtls) > 1
+    return [(b, q) for i, b in enumerate(beds) for j, q in enumerate(qtls) if not (same and i == j)]

@@ -90,6 +90,27 @@ def residualise(df: DataFrame, covariates: list[list[str | None]], normal: bool
     return map_arrays(df, kernel, name)
 
 
+def residualise_targeted(df: DataFrame, shared: list[list[str | None]], own: DataFrame, normal: bool = False) -> DataFrame:
+    """Residuals of wide phenotypes (pid, vals) on shared covariates and on those of their own: (pid, cov) rows, such as
+    the dosages of variants that are known to act on them. The covariates of one phenotype are gathered, no more."""
+    common = stats.encode_covariates(shared) if shared else None
+    mine = own.groupBy("pid").agg(F.collect_list("cov").alias("_own"))
+
+    @F.pandas_udf("array<double>")
+    def run(vals: pd.Series, own_: pd.Series) -> pd.Series:
+        out = []
+        for v, o in zip(vals, own_, strict=True):
+            x = stats.impute(np.array(v, float)[None])
+            extra = stats.impute(np.array([np.array(c, float) for c in o])) if o is not None and len(o) else np.empty((0, x.shape[1]))
+            rows = extra if common is None else np.vstack([common, extra])
+            if len(rows):
+                x = stats.residualise(x, stats.basis(rows))
+            out.append(stats.rank_normal(x[0]) if normal else x[0])
+        return pd.Series(out)
+
+    return df.join(mine, "pid", "left").withColumn("vals", run("vals", "_own")).drop("_own")
+
+
 def collapse(df: DataFrame, how: str = "mean") -> DataFrame:
     """One row for each group (grp) of wide phenotypes: their mean, or the first principal component and its share.
 

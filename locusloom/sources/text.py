@@ -215,18 +215,31 @@ def write_bed(df: DataFrame, path: str, samples: list[str]) -> None:
     vals = F.array_join(F.transform("vals", lambda v: F.coalesce(v.cast("string"), F.lit("NA"))), "\t")
     line = F.concat_ws("\t", "chr", (F.col("start") - 1).cast("string"), F.col("end").cast("string"), "pid", "grp", F.when(F.col("neg"), "-").otherwise("+"), vals)
     rows = df.repartitionByRange("chr", "start").sortWithinPartitions("chr", "start").select(line.alias("value"))
+    _with_header(rows, head).write.text(path)
 
-    def with_head(batches):
+
+def write_vcf(df: DataFrame, path: str, samples: list[str]) -> None:
+    """Variants (vid, vchr, vstart, ref, alts, gvals) as VCF text with a DS field; a header in each part file."""
+    head = "##fileformat=VCFv4.2\n" + '##FORMAT=<ID=DS,Number=1,Type=Float,Description="Dosage">\n' + "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])
+    calls = F.array_join(F.transform("gvals", lambda v: F.coalesce(v.cast("string"), F.lit("."))), "\t")
+    line = F.concat_ws("\t", "vchr", F.col("vstart").cast("string"), "vid", "ref", F.array_join("alts", ","), F.lit("."), F.lit("PASS"), F.lit("."), F.lit("DS"), calls)
+    _with_header(df.repartitionByRange("vchr", "vstart").sortWithinPartitions("vchr", "vstart").select(line.alias("value")), head).write.text(path)
+
+
+def _with_header(rows: DataFrame, head: str) -> DataFrame:
+    """The header before the lines of each partition that has some."""
+
+    def run(batches):
         import pandas as pd
 
         first = True
         for b in batches:
             if first and len(b):
-                yield pd.DataFrame({"value": [head]})
+                yield pd.DataFrame({"value": head.split("\n")})
                 first = False
             yield b
 
-    rows.mapInPandas(with_head, "value string").write.text(path)
+    return rows.mapInPandas(run, "value string")
 
 
 def write_table(df: DataFrame, path: str, sep: str = " ", header_: bool = True) -> None:

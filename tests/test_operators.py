@@ -201,3 +201,17 @@ def test_bam_in_one_range_and_in_many(spark, tmp_path):
         rows = spark.read.format("bam").option("path", str(path)).option("split", split).load().orderBy("pos").collect()
         assert [r["qname"] for r in rows] == [f"r{i}" for i in range(300)]
         assert (rows[7]["pos"], rows[7]["cigar"], rows[7]["seq"], rows[7]["qual"], rows[7]["tags"]) == (8, "4M", "ACGT", "?@AB", "NM:i:2")
+
+
+def test_targeted_covariates_best_in_region_and_vcf_writer(spark, tmp_path):
+    p, g, y, x = wide(spark)
+    own = spark.createDataFrame([("p0", x[1].tolist())], "pid string, cov array<double>")
+    out = {r["pid"]: np.array(r["vals"]) for r in matrix.residualise_targeted(p, [], own).collect()}
+    assert np.allclose(out["p0"], stats.regress_out(y[[0]], x[1])[0]) and np.allclose(out["p2"], y[2])
+    regions = spark.createDataFrame([(0, "p0", f"v{i}") for i in range(6)], "region long, pid string, vid string")
+    assert association.best_in_region(regions, p, g).first()["vid"] == "v1"
+    assert association.dataset_pairs(["a", "b"], ["c", "d"]) == [("a", "d"), ("b", "c")] and association.dataset_pairs(["a"], ["c"]) == [("a", "c")]
+    names = [f"s{i}" for i in range(60)]
+    text.write_vcf(g.selectExpr("vid", "vchr", "vstart", "'A' as ref", "array('G') as alts", "gvals"), str(tmp_path / "out"), names)
+    back = {r["vid"]: r["gvals"] for r in text.vcf(spark, str(tmp_path / "out")).collect()}
+    assert back == {f"v{i}": v.tolist() for i, v in enumerate(x)}
