@@ -23,8 +23,11 @@ text; an empty table writes nothing and reads back empty; other columns are igno
 
 from __future__ import annotations
 
+import json
 import re
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -44,6 +47,23 @@ TAIL, TAIL_SIZE = "<QQQQ6s", 38
 ASCII_SPACE = re.compile("[ \\t\\n\\r\\x0b\\x0c]+")
 
 
+#: Characters that the tokenizer's normaliser only lower-cases one by one: ASCII and the letters of Latin-1.
+PLAIN = re.compile(r"[ -~À-ÖØ-öø-ÿ]*").fullmatch
+#: Its pre-tokens over those, lower-cased; and the space between two tokens.
+PARTS = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-z0-9ß-öø-ÿ]+").findall
+#: How byte-level tokenizers write each byte: printable ones as themselves, the others as the code points from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+BYTE_SIGNS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+
+
+def is_lower_word_bpe(tokenizer) -> bool:
+    """Whether a tokenizer is of the kind that ``PARTS`` reproduces; any other is always asked as a whole."""
+    got = json.loads(tokenizer.to_str())
+    kinds = [x.get("type") for x in (got.get("normalizer") or {}).get("normalizers", [])]
+    split = [x.get("pattern", {}).get("Regex") for x in (got.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    return kinds == ["NFC", "Replace", "Lowercase"] and split[:1] == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"] and all(x["content"].startswith("<|") for x in got["added_tokens"])
+
+
 class _Numbers(dict):
     """Token -> its number; unseen ones are numbered and noted."""
 
@@ -56,6 +76,31 @@ class _Numbers(dict):
         return n
 
 
+class _Ids:
+    """Runs of ids by number."""
+
+    def __init__(self):
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.starts, self.sizes, self.known = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray | None = None) -> None:
+        while self.used + ids.size > self.flat.size:
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        while self.known + sizes.size > self.starts.size:
+            self.starts, self.sizes = (np.concatenate((x, np.empty_like(x))) for x in (self.starts, self.sizes))
+        own = slice(self.known, self.known + sizes.size)
+        self.flat[self.used : self.used + ids.size] = ids
+        self.starts[own] = self.used + (np.cumsum(sizes) - sizes if starts is None else starts)
+        self.sizes[own] = sizes
+        self.used, self.known = self.used + ids.size, self.known + sizes.size
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the numbers, one run after another, and the runs' sizes."""
+        size = self.sizes[which]
+        end = np.cumsum(size)
+        return self.flat[np.repeat(self.starts[which] - end + size, size) + np.arange(end[-1] if end.size else 0)], size
+
+
 def split(text: str | None) -> list[str]:
     """White-space tokens. Python also splits at four control characters that the tokenizer keeps; those texts are cut at ASCII white space."""
     if not text:
@@ -70,29 +115,53 @@ class Encoder:
     checked by the tests against encoding the whole text.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.plain = is_lower_word_bpe(self.tokenizer)
+        self.model = self.tokenizer.model
         self._fresh()
 
     def _fresh(self) -> None:
-        self.number = _Numbers()
-        self.flat, self.starts, self.sizes, self.used = np.empty(1 << 20, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), 0
+        self.number, self.ids = _Numbers(), _Ids()
+        self.part, self.part_ids = _Numbers(), _Ids()
+        self.part[" "] = 0
+        self.part_ids.add(np.empty(0, np.uint32), np.zeros(1, np.int64))
+
+    def _plain_ids(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain tokens, and how many each has: one regular expression cuts them into lower-cased parts, and
+        the library's model is asked for each distinct part."""
+        which = np.fromiter(map(self.part.__getitem__, PARTS(" ".join(tokens).lower())), np.int64)
+        if new := self.part.new:
+            self.part.new = []
+            shown = [x if x.isascii() else "".join(map(BYTE_SIGNS.__getitem__, x.encode())) for x in new]
+            ids = [[t.id for t in self.model.tokenize(x)] for x in shown]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.part_ids.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size)
+        got, size = self.part_ids.gather(which)
+        return got, np.bincount(np.cumsum(which == 0), size, minlength=len(tokens)).astype(np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        starts, sizes = [self.starts], [self.sizes]
-        for a in range(0, len(new), 4096):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new[a : a + 4096], add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            got = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-            while self.used + got.size > self.flat.size:
-                self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-            self.flat[self.used : self.used + got.size] = got
-            starts.append(self.used + np.cumsum(size) - size)
-            sizes.append(size)
-            self.used += got.size
-        self.starts, self.sizes = np.concatenate(starts), np.concatenate(sizes)
+        plain = np.zeros(len(new), bool)
+        if self.plain:
+            for a in range(0, len(new), 256):
+                some = " ".join(new[a : a + 256])
+                plain[a : a + 256] = True if PLAIN(some) and "<|" not in some else [bool(PLAIN(t)) and "<|" not in t for t in new[a : a + 256]]
+        sizes = np.zeros(len(new), np.int64)
+        parts = []
+        if plain.any():
+            got, sizes[plain] = self._plain_ids(new if plain.all() else [t for t, p in zip(new, plain.tolist(), strict=True) if p])
+            parts.append(got)
+        for i in np.flatnonzero(~plain):
+            own = self.tokenizer.encode(new[i], add_special_tokens=False).ids
+            sizes[i] = len(own)
+            parts.append(np.array(own, np.uint32))
+        # stored plain ones first
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        starts = np.empty(len(new), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        self.ids.add(np.concatenate(parts), sizes, starts)
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has (with its end id)."""
@@ -101,21 +170,26 @@ class Encoder:
         tokens = [split(t) for t in texts]
         n = np.fromiter(map(len, tokens), np.int64, len(tokens))
         which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(tokens)), np.int64, int(n.sum()))
-        if self.number.new:
-            self._learn(self.number.new)
+        if new := self.number.new:
             self.number.new = []
-        size = self.sizes[which] if which.size else np.empty(0, np.int64)
+            self._learn(new)
+        got, size = self.ids.gather(which)
         total = np.concatenate(([0], np.cumsum(size)))
         at = np.concatenate(([0], np.cumsum(n)))
         own = total[at[1:]] - total[at[:-1]] + 1  # with the end id
         out = np.full(int(own.sum()), end, np.uint32)
-        if which.size:
-            source = np.repeat(self.starts[which] - total[:-1], size) + np.arange(total[-1])
-            place = np.repeat(np.arange(len(texts)), own - 1)  # each earlier text has one end id
-            out[np.arange(total[-1]) + place] = self.flat[source]
+        out[np.arange(got.size) + np.repeat(np.arange(len(texts)), own - 1)] = got  # each earlier text has one end id
         return out, own
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker: later tasks find what earlier ones have learnt."""
+    kept = sys.modules.setdefault("locusloom_worker", types.ModuleType("locusloom_worker"))
+    if getattr(kept, "encoder_path", None) != path:
+        kept.encoder, kept.encoder_path = Encoder(path), path
+    return kept.encoder
+
+
 def pack(ids: np.ndarray) -> Iterator[bytes]:
     """The blocks of a run of ids, in order; all but the last are full."""
     for a in range(0, ids.size, BLOCK * 256):
@@ -266,7 +340,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, files: int |
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{path}/{name}"]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], ["part", "path", "docs", "ids"])
 
         for batch in bounded(batches, "text"):
-            encoder = encoder or Encoder(tokenizer)
+            encoder = encoder or worker_encoder(tokenizer)
             parts = batch.column("part").to_numpy()
             cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
