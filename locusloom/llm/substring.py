@@ -20,8 +20,8 @@ picked anchors matter (about one for each five words). A window without an ancho
 
 **Spark rounds.** (1) Name all documents and count picked anchors. An anchor that occurs once proves its windows
 unique. (2) An anchor's *context* is all words of the windows it belongs to. Where an earlier document has the same
-anchor in the same context, all its windows are known to repeat, by one comparison of names; inside long copies
-nothing else is left. The first document with a context keeps it open, and if an anchor has several open contexts
+anchor in the same context, all its windows are known to repeat, by one comparison of 96-bit names, as wide as
+those of windows; inside long copies nothing else is left. The first document with a context keeps it open, and if an anchor has several open contexts
 (the ends of repeats) their windows are judged one by one: if an earlier document holds a window, then the earliest
 that does has it in an open context of the same anchor. (3) Those windows, and all bare ones, are named by 96 bits over
 their 13 words, and the smallest doc_id of each name is found. (4) Windows known to repeat are cut out. Names are
@@ -48,6 +48,7 @@ from .common import bounded, discard, materialise, release, row_ids
 
 LENGTH = 13
 ROUNDS = 2
+SLICES = 4  # of the anchors, where all of them are shuffled
 M1, M2, M3 = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15))
 
 
@@ -171,16 +172,19 @@ def picked(lo: np.ndarray, hi: np.ndarray, key: np.ndarray, n: np.ndarray) -> tu
     return chosen, window & (best == np.iinfo(np.uint64).max)
 
 
-def contexts(name, lo, hi, base, n, doc) -> np.ndarray:
-    """32 bits over all words of the windows that an anchor belongs to, and over where the document ends among them."""
-    out = np.zeros(lo.size, np.uint64)
+def contexts(name, lo, hi, base, n, doc) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits over all words of the windows that an anchor belongs to, and over where the document ends among them."""
+    one, two = np.zeros(lo.size, np.uint64), np.zeros(lo.size, np.uint64)
     begin, end = (base[lo], base[lo] + n[doc[lo]]) if lo.size else (lo, lo)
     for k in range(2 * LENGTH):
         at = hi - LENGTH + k
         inside = (at >= begin) & (at < end)
-        word = np.where(inside, name[np.clip(at, 0, max(name.size - 1, 0))], M1) if lo.size else out
-        out = np.where(at < lo + LENGTH, mix64(out * M3 + word + np.uint64(k)), out)
-    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        word = np.where(inside, name[np.clip(at, 0, max(name.size - 1, 0))], M1) if lo.size else one
+        on = at < lo + LENGTH
+        one = np.where(on, mix64(one * M3 + word + np.uint64(k)), one)
+        more = (two ^ word) * M1 + np.uint64(k + 1)
+        two = np.where(on, more ^ (more >> np.uint64(29)), two)
+    return one.view(np.int64), (mix64(two) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def window_names(name: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +210,7 @@ def _ranges(flags: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def find_anchors(rows: DataFrame) -> DataFrame:
-    """Picked anchors and bare windows of each row: key (null: bare), name of the context, rid, and the place: first window << 32 | windows."""
+    """Picked anchors and bare windows of each row: key (null: bare), 96-bit name of the context (c1, c2), rid, and the place: first window << 32 | windows."""
 
     def run(batches):
         names = Names()
@@ -217,7 +221,7 @@ def find_anchors(rows: DataFrame) -> DataFrame:
             lo, hi, key = anchors(name, doc)
             chosen, bare = picked(lo, hi, key, n)
             lo, hi, key = lo[chosen], hi[chosen], key[chosen]
-            context = contexts(name, lo, hi, base, n, doc)
+            c1, c2 = contexts(name, lo, hi, base, n, doc)
             first = np.maximum(hi - LENGTH, base[lo]) if lo.size else lo
             last = np.minimum(lo, base[lo] + n[doc[lo]] - LENGTH) if lo.size else lo
             at, length = _ranges(bare, doc)
@@ -226,10 +230,10 @@ def find_anchors(rows: DataFrame) -> DataFrame:
             begin, size = np.concatenate((first, at)), np.concatenate((last - first + 1, length))
             place = (begin - base[begin] if begin.size else begin) << 32 | size
             keys = pa.array(np.concatenate((key.view(np.int64), np.zeros(at.size, np.int64))), mask=np.arange(begin.size) >= lo.size)
-            context = np.concatenate((context, np.zeros(at.size, np.int32)))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(context), pa.array(rid[owner]), pa.array(place)], ["key", "context", "rid", "place"])
+            c1, c2 = (np.concatenate((c, np.zeros(at.size, c.dtype))) for c in (c1, c2))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(c1), pa.array(c2), pa.array(rid[owner]), pa.array(place)], ["key", "c1", "c2", "rid", "place"])
 
-    return rows.select("rid", "text").mapInArrow(run, "key long, context int, rid long, place long")
+    return rows.select("rid", "text").mapInArrow(run, "key long, c1 long, c2 int, rid long, place long")
 
 
 def name_windows(rows: DataFrame) -> DataFrame:
@@ -277,21 +281,26 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = materialise(find_anchors(rows), "substring-anchors")
     shared = materialise(found.where("key is not null").groupBy("key").count().where("count > 1").select("key"), "substring-shared")
     release(docs.sparkSession)
-    known = materialise(found.join(shared, "key", "left_semi"), "substring-known")
+    parts, known = [], None
+    for k in range(SLICES):  # of the keys, one after another, so that only one slice's shuffle is on disk
+        part = materialise(found.where(F.pmod("key", F.lit(SLICES)) == k).join(shared, "key", "left_semi"), "substring-known")
+        parts.append(part)
+        release(docs.sparkSession)
+        known = part if known is None else known.unionByName(part)
     bare = materialise(found.where("key is null").select("rid", "place"), "substring-bare")
     discard(found)
     discard(shared)
 
     order = rows.select("rid", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"))
     with_order = lambda df: df.withColumn("d", F.col("rid")) if unique else df.join(order, "rid")
-    first = with_order(known).groupBy("key", "context").agg(F.min("d").alias("low"))
+    first = with_order(known).groupBy("key", "c1", "c2").agg(F.min("d").alias("low"))
     first = materialise(first, "substring-contexts")
     several = first.groupBy("key").agg(F.count("*").alias("open")).where("open > 1").select("key")
-    judged = with_order(known).join(first, ["key", "context"])
+    judged = with_order(known).join(first, ["key", "c1", "c2"])
     repeats = materialise(judged.where("low < d").select("rid", "place"), "substring-repeats")
     unsure = judged.where("low = d").select("key", "rid", "place").join(several, "key", "left_semi").select("rid", "place")
     places = materialise(unsure.unionByName(bare).groupBy("rid").agg(F.collect_set("place").alias("places")), "substring-places")
-    for df in (known, bare, first):
+    for df in (*parts, bare, first):
         discard(df)
 
     windows = materialise(name_windows(rows.join(places, "rid")), "substring-windows")

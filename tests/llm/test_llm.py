@@ -447,6 +447,16 @@ def test_substring_dedup_equals_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute_cut(texts)
 
 
+def test_contexts_that_agree_in_32_bits_are_no_repeat(spark):
+    tail = "of and amber basil cedar delta ember fjord gable heron river stone cloud winter garden paper window silver morning letter bridge forest shadow"
+    tail += " ivory jolly koala lemon mango noble ocean pearl quilt raven solar"
+    pairs = [(62932, 72301), (55045, 81102), (42458, 153427), (70444, 158335)]  # these met in the upper half of a 64-bit context
+    for pair in pairs:
+        texts = [f"x{i} {tail}" for i in pair]
+        got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring.dedup(docs_of(spark, texts)).collect()}
+        assert [got[i] for i in range(2)] == brute_cut(texts)
+
+
 def test_recompression_is_locally_consistent():
     r = np.random.default_rng(5)
     part = r.integers(0, 5, 40).astype(np.uint64)
