@@ -365,6 +365,27 @@ def test_near_duplicate_groups(spark):
     assert all(got[i]["class_docs"] == size[find(i)] for i in got)
 
 
+def test_near_duplicates_down_to_the_threshold(spark):
+    """Scattered edits at similarity 0.85 and 0.9 are found, and short texts with one or two edits."""
+    r = random.Random(12)
+    texts = []
+    for i in range(60):
+        w = [f"w{i}x{r.randrange(500)}" for _ in range(100)]
+        texts.append(" ".join(w))
+        for k in r.sample(range(100), 10 if i % 2 else 15):
+            w[k] = f"v{i}x{k}"
+        texts.append(" ".join(w))
+    for i, n in enumerate((5, 6, 7, 8, 9, 10, 11, 12, 13, 14)):
+        w = [f"s{i}x{k}" for k in range(n)]
+        texts.append(" ".join(w))
+        w[n // 2] = "changed"
+        if n >= 10:
+            w.pop(n // 4)
+        texts.append(" ".join(w))
+    got = {x["doc_id"]: x["class_id"] for x in neardup.group(docs_of(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_near_duplicates_edges(spark, odd):
     assert neardup.group(empty(spark)).count() == 0 and neardup.keep_one(empty(spark)).count() == 0
     got = {r["doc_id"]: r["class_id"] for r in neardup.group(odd).collect()}
