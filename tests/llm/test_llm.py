@@ -386,6 +386,15 @@ def test_near_duplicates_down_to_the_threshold(spark):
     assert got == {i: i - i % 2 for i in range(len(texts))}
 
 
+def test_links_are_called_those_of_pivots(spark):
+    """Six mutually near texts have five links each; only those to pivots are counted, and the column says so."""
+    w = prose(40, 100)
+    texts = [" ".join(w[: 10 * i] + [f"v{i}"] + w[10 * i + 1 :]) for i in range(6)]
+    got = neardup.group(docs_of(spark, texts))
+    assert got.columns == ["doc_id", "class_id", "class_docs", "class_texts", "n_pivot_links"]
+    assert all(1 <= x["n_pivot_links"] <= 5 for x in got.collect())
+
+
 def test_near_duplicates_edges(spark, odd):
     assert neardup.group(empty(spark)).count() == 0 and neardup.keep_one(empty(spark)).count() == 0
     got = {r["doc_id"]: r["class_id"] for r in neardup.group(odd).collect()}
