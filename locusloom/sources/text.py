@@ -103,7 +103,10 @@ def haplotypes(variants: DataFrame) -> DataFrame:
 
 def covariates(spark: SparkSession, path: str, samples: list[str]) -> list[list[str]]:
     """Rows of text, one for each covariate, in sample order; small by nature."""
-    lines = [r["value"].split() for r in spark.read.text(path).limit(100_000).collect() if r["value"].strip()]
+    read = spark.read.text(path).limit(100_001).collect()
+    if len(read) > 100_000:
+        raise ValueError(f"more than 100000 lines of covariates in {path}")
+    lines = [r["value"].split() for r in read if r["value"].strip()]
     at = {s: i for i, s in enumerate(lines[0]) if i}
     missing = [s for s in samples if s not in at]
     if missing:
