@@ -12,20 +12,77 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs as pafs
+import xxhash
+from pyspark import Broadcast
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+M1, M2, M3 = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15))
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers that spreads every bit over all others."""
+    x = x ^ (x >> np.uint64(33))
+    x *= M1
+    x ^= x >> np.uint64(33)
+    x *= M2
+    x ^= x >> np.uint64(33)
+    return x
+
+
+class Names(dict):
+    """Word (str or bytes) -> 64-bit name. It forgets all words once they take ``most`` bytes, whatever their lengths."""
+
+    def __init__(self, most: int = 32 << 20):
+        super().__init__()
+        self.most, self.taken = most, 0
+
+    def __missing__(self, word: str | bytes) -> int:
+        self.taken += len(word) + 160  # with the entry's own size and its number's
+        if self.taken > self.most:
+            self.clear()
+            self.taken = len(word) + 160
+        self[word] = out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass") if isinstance(word, str) else word)
+        return out
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session, whose driver and executors are one process, gets a folder of its own. On a
+    cluster no folder of ours could be known to be shared, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="locusloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+_SHIPPED: list[Broadcast] = []
+
+
+def shipped(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast ``value`` with its class by value, so that executors need not have this package; see :func:`received`."""
+    out = spark.sparkContext.broadcast(CloudPickleSerializer().dumps(value))
+    _SHIPPED.append(out)
+    return out
+
+
+def received(shared: Broadcast) -> object:
+    """What :func:`shipped` sent; call it once for each task."""
+    return CloudPickleSerializer().loads(shared.value)
+
+
+def recall_shipped() -> None:
+    """Destroy what was shipped so far: for use once all results that need it are written."""
+    while _SHIPPED:
+        _SHIPPED.pop().destroy()
+
+
 def work_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 

@@ -313,11 +313,35 @@ def test_order_min_hash_follows_its_definition():
     name, n = neardup.word_names([text, "two words", "w"], neardup.Names())
     h, count = neardup.shingles(name, n)
     assert count.tolist() == [116, 1, 1] and len(set(h[:116].tolist())) == 116  # repeated shingles are told apart by number
-    s = neardup.sketch(name, n)
+    s = neardup.minima(h, count)
     moved = " ".join((prose(4, 60) + prose(4, 60))[60:] + ["x"] + (prose(4, 60) + prose(4, 60))[:60])
-    t = neardup.sketch(*neardup.word_names([moved], neardup.Names()))
-    same = (s[0] == t[0]).mean()
-    assert 0 < same < 1 and (s[0] == neardup.sketch(*neardup.word_names([text], neardup.Names()))[0]).all()
+    g, m = neardup.shingles(*neardup.word_names([moved], neardup.Names()))
+    assert 0 < (s[0] == neardup.minima(g, m)[0]).mean() < 1
+    own = neardup.sketch(name, n)
+    assert set(own[0].tolist()) == set(s[0].view(np.int64).tolist()) and own[1].size == own[2].size == 1
+    assert (neardup.sketch(*neardup.word_names([text], neardup.Names()))[0] == own[0]).all()
+
+
+def test_turned_minima_follow_their_definition():
+    """The two shingles after each point of the circle of hashes, in text order; texts near the border take both kinds."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(n)) for i, n in enumerate((150, 260, 900))]
+    name, n = neardup.word_names(texts, neardup.Names())
+    h, count = neardup.shingles(name, n)
+    got = neardup.turned(h, count)
+    first = np.cumsum(count) - count
+    for i in range(3):
+        own = h[first[i] : first[i] + count[i]]
+        order = sorted(range(own.size), key=lambda j: own[j])
+        for t in (0, 1, 63, 127):
+            point = t << 57
+            after = [j for j in order if own[j] >= point] + [j for j in order if own[j] < point]
+            assert got[i, t] == neardup._tuples(own, np.array(sorted(after[:2]))[:, None])[0]
+    sizes = [x.size for x in neardup.sketch(name, n)]
+    assert sizes[0] <= 128 < sizes[1] and sizes[2] <= 128
+    w = texts[2].split()
+    w[450:500] = [f"v{k}" for k in range(50)]
+    a, b = neardup.sketch(*neardup.word_names([texts[2], " ".join(w)], neardup.Names()))
+    assert 0.6 < np.intersect1d(a, b).size / a.size < 1
 
 
 def test_near_duplicate_groups(spark):
@@ -386,8 +410,80 @@ def test_near_duplicates_down_to_the_threshold(spark):
     assert got == {i: i - i % 2 for i in range(len(texts))}
 
 
+def test_large_groups_of_unlike_texts_stay_apart(spark):
+    """Texts around one passage, near copies among them, and chains whose ends are not near: as brute force finds them."""
+    r = random.Random(31)
+    words = [f"g{k}" for k in range(4000)]
+    shared = [r.choice(words) for _ in range(70)]
+    texts = []
+    for j in range(260):
+        own = [r.choice(words) for _ in range(60)]
+        texts.append(own + shared)
+        if j % 5 == 0:  # a near copy, off by a tenth, all of it outside the passage
+            w = own[:]
+            for k in r.sample(range(60), 13):
+                w[k] = r.choice(words)
+            texts.append(w + shared)
+    chain = [r.choice(words) for _ in range(50)]
+    for j in range(12):
+        chain = chain[:]
+        for k in r.sample(range(50), 8):
+            chain[k] = r.choice(words)
+        texts.append(chain + shared[:40])
+    got = {x["doc_id"]: x["class_id"] for x in neardup.group(docs_of(spark, [" ".join(w) for w in texts])).collect()}
+    names = neardup.Names()
+    w = [neardup.word_names([" ".join(t)], names)[0] for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(w)):
+        for j in range(i):
+            if find(i) != find(j) and neardup.near(w[i], w[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == {i: find(i) for i in range(len(w))}
+
+
+def test_prefixes_lose_no_near_pair(spark):
+    """With groups larger than OUTSIDE at each level, the prefix join alone finds what brute force finds."""
+    r = random.Random(8)
+    words = [f"g{k}" for k in range(60)]
+    texts = [[r.choice(words) for _ in range(r.randrange(1, 30))] for _ in range(150)]
+    for i in range(100):
+        w = texts[i][:]
+        for _ in range(len(w) // 6):
+            w[r.randrange(len(w))] = r.choice(words)
+        texts.append(w)
+    texts = [list(t) for t in {tuple(t) for t in texts}]
+    names = neardup.Names()
+    w = [neardup.word_names([" ".join(t)], names)[0] for t in texts]
+    rows = spark.createDataFrame([(i, i, " ".join(t)) for i, t in enumerate(texts)], "node long, root long, text string")
+    listed = neardup.prefixes(rows, neardup.word_counts(rows))
+    before, neardup.OUTSIDE = neardup.OUTSIDE, 3
+    try:
+        asked = []
+
+        def compared(pairs):
+            got = [(x["a"], x["b"]) for x in pairs.collect()]
+            asked.append(len(got))
+            return spark.createDataFrame([p for p in got if neardup.near(w[p[0]], w[p[1]])], "a long, b long")
+
+        none = spark.createDataFrame([], "a long, b long")
+        links, root = neardup.join_prefixes(listed, none, none.toDF("node", "root"), compared)
+    finally:
+        neardup.OUTSIDE = before
+    got = {x["node"]: x["root"] for x in root.collect()}
+    assert len(asked) == 3 and all(asked)
+    near = [(i, j) for i in range(len(w)) for j in range(i) if neardup.near(w[i], w[j])]
+    assert near and all(got.get(i, i) == got.get(j, j) for i, j in near)
+    assert all(neardup.near(w[x["a"]], w[x["b"]]) for x in links.collect())
+
+
 def test_links_are_called_those_of_pivots(spark):
-    """Six mutually near texts have five links each; only those to pivots are counted, and the column says so."""
+    """Six mutually near texts have five links each; pairs already in one component aren't compared, and the column says so."""
     w = prose(40, 100)
     texts = [" ".join(w[: 10 * i] + [f"v{i}"] + w[10 * i + 1 :]) for i in range(6)]
     got = neardup.group(docs_of(spark, texts))
