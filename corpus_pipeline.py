@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from locusloom.llm import decontam, langid, mixing, neardup, tokenbin
-from locusloom.llm.common import materialise, table
+from locusloom.llm.common import discard, materialise, recall_shipped, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +55,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each one's result written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)  # and what the stage shipped to the executors
+        recall_shipped()
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

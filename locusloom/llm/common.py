@@ -142,18 +142,29 @@ def digest_key(text: Column) -> Column:
     return F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32)
 
 
+def runs(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Cut a list of sizes into runs [a, b) of about ``limit``; one item may be larger."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > limit:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if len(sizes) > start:
+        yield start, len(sizes)
+
+
 def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches into runs of rows with about ``limit`` bytes in ``column``; one row may be larger."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
-        start = total = 0
-        for i, n in enumerate(sizes):
-            if total and total + n > limit:
-                yield batch.slice(start, i - start)
-                start, total = i, 0
-            total += n
-        if len(sizes) > start:
-            yield batch.slice(start)
+        for a, b in runs(pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist(), limit):
+            yield batch.slice(a, b - a)
+
+
+def by_run(texts: pd.Series, limit: int = 1 << 20) -> Iterator[list[str | None]]:
+    """The texts in runs of about ``limit`` characters."""
+    for a, b in runs([len(t) if t else 0 for t in texts], limit):
+        yield texts.iloc[a:b].tolist()
 
 
 def range_parts(df: DataFrame, key: str, n: int, out: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: a BM25 index of test items, block-max WAND over every training passage, exact checks.
+"""Benchmark decontamination: a BM25 index of test items, block-max pruning of every training passage, exact checks.
 
 Texts are lower-cased and cut into ``\\w+`` words. Each test item is a document of the index; a posting's impact is
 its BM25 share ``idf * tf * (k1 + 1) / (tf + norm)`` divided by the sum over the item, so a passage that holds every
@@ -6,8 +6,8 @@ word of an item scores 1 and one threshold serves all items. Documents are read
 each stride, where a stride is at least as long as the longest item of the index shard: whatever is copied from an
 item lies whole in some passage.
 
-The search is safe (nothing at or above the threshold is missed) and skips by upper bounds, the way WAND does, for a
-batch of passages at once:
+The search is safe (nothing at or above the threshold is missed) and skips by the bounds of block-max WAND. It is its
+batch form: bounds are added for many passages at once, with no cursors or pivots for each passage:
 
 * The most frequent words of the index are *non-essential* as long as no item owes them more than ``REST`` of its
   score. Only the other, essential, words open posting lists; an item none of whose essential words occur can't reach
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import bounded, by_run, received, shipped
 
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -77,11 +77,13 @@ class Codes(dict):
     Words never span white space, so a text's words are those of its tokens; most tokens come again and again.
     """
 
-    def __init__(self, vocab: dict[str, int], most: int = 300_000):
-        self.vocab, self.base, self.most = vocab, len(vocab), most
+    def __init__(self, vocab: dict[str, int], most: int = 32 << 20):
+        super().__init__()
+        self.vocab, self.base, self.most, self.taken = vocab, len(vocab), most, 0
         self.several: list[list[int]] = []
 
     def __missing__(self, token: str) -> int:
+        self.taken += 8 * len(token) + 160  # a token of many words keeps their numbers
         own = [self.vocab.get(w, -1) for w in words(token)]
         if len(own) == 1:
             code = own[0]
@@ -93,9 +95,10 @@ class Codes(dict):
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts one after another, and how many words each has."""
-        if len(self) > self.most:
+        if self.taken > self.most:  # bytes; a batch is bounded too
             self.clear()
             self.several.clear()
+            self.taken = 0
         tokens = [t.split() if t else [] for t in texts]
         n = np.fromiter(map(len, tokens), np.int64, len(tokens))
         codes = np.fromiter(map(self.__getitem__, chain.from_iterable(tokens)), np.int64, int(n.sum()))
@@ -265,10 +268,10 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: fl
     rows, out = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")), None
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, score double, position long, question_overlap double, answer_overlap double"
     for shard in shards(items, "item_id", "text", threshold, overlap, n, shard_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(shard)
+        shared = shipped(docs.sparkSession, shard)
 
         def scan(batches, shared=shared):
-            index = shared.value
+            index = received(shared)
             for batch in bounded(batches, "text", index.batch_bytes):
                 doc = batch.column("doc_id")
                 hits = index.search(batch.column("text").to_pylist())
@@ -290,21 +293,16 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: fl
 
 def leaks_any(docs: DataFrame, shard: Shard, text: str) -> Column:
     """Whether a text leaks an item of the shard."""
-    shared = docs.sparkSession.sparkContext.broadcast(shard)
+    shared = shipped(docs.sparkSession, shard)
 
     @F.pandas_udf("boolean")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = received(shared)
         for texts in batches:
-            out, some, size, at = [False] * len(texts), [], 0, []
-            for i, t in enumerate([*texts.tolist(), None]):
-                if some and (i == len(texts) or size > shared.value.batch_bytes):
-                    for h in shared.value.search(some):
-                        out[at[h[0]]] = True
-                    some, size, at = [], 0, []
-                if i < len(texts):
-                    some.append(t)
-                    at.append(i)
-                    size += len(t or "")
+            out, at = np.zeros(len(texts), bool), 0
+            for some in by_run(texts, index.batch_bytes):
+                out[[at + h[0] for h in index.search(some)]] = True
+                at += len(some)
             yield pd.Series(out)
 
     return found(F.col(text))

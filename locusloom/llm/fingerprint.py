@@ -33,27 +33,24 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, parts_of, range_parts
+from .common import M3, bounded, mix64, parts_of, range_parts
 
 CELLS = 24
 PIECE = re.compile(r"[^\n.!?]+[\n.!?]*|[\n.!?]+")
-M1, M2, M3 = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15))
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(33))
-    x = x * M1
-    x = x ^ (x >> np.uint64(33))
-    x = x * M2
-    return x ^ (x >> np.uint64(33))
 
 
 class Words(dict):
-    """Word -> whether a piece begins at it, inside a long sentence."""
+    """Word -> whether a piece begins at it, inside a long sentence; forgets all once its words take ``most`` bytes."""
+
+    def __init__(self, most: int = 32 << 20):
+        super().__init__()
+        self.most, self.taken = most, 0
 
     def __missing__(self, word: str) -> bool:
-        if len(self) > 300_000:
+        self.taken += len(word) + 120
+        if self.taken > self.most:
             self.clear()
+            self.taken = len(word) + 120
         self[word] = out = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % 8 == 0
         return out
 

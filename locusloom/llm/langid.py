@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_run, received, shipped
+
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 CHUNK = 1 << 19  # code points scored at once
@@ -118,33 +120,37 @@ class Model:
         return [self.langs[b] if k else UND for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0)
 
 
-def fit(labelled: DataFrame, max_docs_per_lang: int = 4000, alpha: float = 0.1, seed: int = 7) -> Model:
+def fit(labelled: DataFrame, max_docs_per_lang: int = 4000, alpha: float = 0.1, seed: int = 7, max_model_bytes: int = 64 << 20) -> Model:
     """Fit on ``text`` and ``lang`` of ``labelled``.
 
-    Training takes a documented bounded sample: about ``max_docs_per_lang`` whole texts of each language, those with
-    the smallest share of a seeded hash of the text; a language with fewer rows is used whole. At most 1,000
-    languages are accepted, since the matrix is broadcast.
+    Training takes a documented bounded sample: about ``max_docs_per_lang`` different whole texts of each language, those
+    with the smallest share of a seeded hash of the text; a language with fewer texts is used whole, and a text that is
+    repeated counts once. The matrix, which is broadcast, may take ``max_model_bytes``; more languages are an error.
     """
     rows = labelled.select(F.col("lang").alias("lang"), F.col("text").alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(1001).collect()}
-    if len(sizes) > 1000:
-        raise ValueError("more than 1000 languages: the log-probability matrix would be too large to broadcast")
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(seed)))
+    most = max_model_bytes // (8 * BUCKETS)
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect()}
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} languages: the log-probability matrix would take over {max_model_bytes} bytes")
     if not sizes:
         return Model([], np.zeros((0, BUCKETS)), np.zeros(0))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, max_docs_per_lang / n) * (1 << 30)))])
-    sample = rows.where((F.shiftrightunsigned(F.xxhash64("text", F.lit(seed)), 34) < share[F.col("lang")])).repartition(8)
+    sample = rows.where((F.shiftrightunsigned("h", 34) < share[F.col("lang")])).dropDuplicates(["lang", "h"]).select("lang", "text")
     langs = sorted(sizes)
 
-    def count(batches):
+    def count(frames):
         total, docs = np.zeros((len(langs), BUCKETS + 1), np.int64), np.zeros(len(langs), np.int64)
-        for frame in batches:
+        for frame in frames:
             for lang, group in frame.groupby("lang"):
-                i, points = langs.index(lang), [p for t in group["text"] if (p := normalise(t)).size]
-                docs[i] += len(points)
-                for a, b in _chunks(points):
-                    lengths = np.array([p.size for p in points[a:b]])
-                    for row in grams(np.concatenate(points[a:b]), np.concatenate(([0], np.cumsum(lengths)[:-1]))):
-                        total[i] += np.bincount(row, minlength=BUCKETS + 1)
+                i = langs.index(lang)
+                for texts in by_run(group["text"]):
+                    points = [p for t in texts if (p := normalise(t)).size]
+                    docs[i] += len(points)
+                    for a, b in _chunks(points):
+                        lengths = np.array([p.size for p in points[a:b]])
+                        for row in grams(np.concatenate(points[a:b]), np.concatenate(([0], np.cumsum(lengths)[:-1]))):
+                            total[i] += np.bincount(row, minlength=BUCKETS + 1)
         for i in range(len(langs)):
             at = np.flatnonzero(total[i, :BUCKETS])
             yield pd.DataFrame({"i": [i], "docs": [int(docs[i])], "at": [at.astype("<i4").tobytes()], "n": [total[i, at].astype("<i8").tobytes()]})
@@ -158,13 +164,14 @@ def fit(labelled: DataFrame, max_docs_per_lang: int = 4000, alpha: float = 0.1,
 
 def predict(model: Model, df: DataFrame, text: str = "text") -> Column:
     """A struct(lang_pred, score) column for the texts of ``df``."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(df.sparkSession, model)
 
     @F.pandas_udf("lang_pred string, score double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = received(shared)
         for texts in batches:
-            langs, scores = shared.value.predict(texts.tolist())
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            got = [own.predict(some) for some in by_run(texts)]
+            yield pd.DataFrame({"lang_pred": [x for langs, _ in got for x in langs], "score": np.concatenate([s for _, s in got] or [np.empty(0)])})
 
     return score(F.col(text))
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import bounded, received, shipped
 from .decontam import Codes, words
 
 K, BANDS = 5, 48
@@ -146,13 +146,16 @@ class Index:
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float = 0.8, max_words: int = 1_000_000) -> DataFrame:
     """doc_id, license_id, containment, position, n_windows; ``templates``: (license_id, text), by default :data:`NOTICES`."""
-    rows = NOTICES if templates is None else sorted({(r["license_id"], r["text"]) for r in templates.where("license_id is not null and text is not null").select("license_id", "text").toLocalIterator()})
-    if sum(len(words(t)) for _, t in rows) > max_words:
-        raise ValueError(f"templates of more than {max_words} words")
-    shared = docs.sparkSession.sparkContext.broadcast(Index(rows, containment))
+    rows = NOTICES
+    if templates is not None:
+        given = templates.where("license_id is not null and text is not null").select("license_id", "text").distinct()
+        if (given.agg(F.sum(F.regexp_count("text", F.lit(r"\w+")))).first()[0] or 0) > max_words:
+            raise ValueError(f"templates of more than {max_words} words")
+        rows = sorted((r["license_id"], r["text"]) for r in given.toLocalIterator())
+    shared = shipped(docs.sparkSession, Index(rows, containment))
 
     def run(batches):
-        index = shared.value
+        index = received(shared)
         for batch in bounded(batches, "text"):
             hits = index.scan(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(

@@ -6,19 +6,22 @@ the most that the number of sources allows); ``max_repeats`` bounds how often a
 where that bound is passed ``alpha`` is bisected up to the smallest value that keeps to it. The bound wins over the
 entropy. The budget (``budget_tokens``, by default all tokens of the corpus) is divided by the weights.
 
-Realisation: a source's documents are dealt into blocks of about ``block_tokens`` tokens by a seeded hash; for each
-epoch its blocks, and the documents in a block, are permuted by another seeded hash. Whole epochs come first; in the
+Realisation: a source's documents are dealt into blocks by a seeded hash, ``blocks`` of them for the whole corpus and
+at least one for each source, in proportion to its tokens; for each epoch its blocks, and the documents in a block, are
+permuted by another seeded hash. Whole epochs come first; in the
 last one blocks are taken in order until the budget is met, and only the block that meets it is cut, after the
 document that reaches the budget. ``mix_pos`` (0 to 1) is the share of its source's budget that precedes a block:
 reading in the order of mix_pos, epoch, block, order_in_block has every source at its weight all along.
 
 Scale: texts never move; documents are counted into one row for each (source, block), prefix sums run over blocks and
-not over a source's documents, and only documents of cut blocks (one for each source) are ranked. Only the table of
-sources reaches the driver (at most ``max_sources`` rows, else an error).
+not over a source's documents, and only hashes and sizes of the documents of cut blocks (one for each source) are
+ranked, to find the last one read. What is broadcast is the table of sources and that of blocks: at most
+``blocks + max_sources`` rows for each epoch, however large the corpus. Only the table of sources reaches the driver (at
+most ``max_sources`` rows, else an error).
 
 Edge cases: a null source is a source of its own; documents without words count 0 tokens, belong to a block and are
-taken with it; a source without any tokens has weight 0 and is left out; one source has weight 1; repeated rows and
-null ids are documents of their own; an empty table gives an empty result; other columns don't matter.
+taken with it; a source without any tokens has weight 0 and is left out; one source has weight 1; null ids are documents
+of their own; repeated rows (equal id and text) are counted each but read together; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -114,34 +117,37 @@ def _plan(sized: DataFrame, budget_tokens: int | None, entropy: float, max_repea
     return sized.sparkSession.createDataFrame(rows, f"source {kind}, tokens long, share double, alpha double, weight double, budget long, repeats double")
 
 
-def mix(docs: DataFrame, columns: list[str] | None = None, budget_tokens: int | None = None, entropy: float = 0.97, max_repeats: float = 4.0, block_tokens: int = 1 << 16, max_blocks: int = 1 << 16, seed: int = 17, max_sources: int = 10_000) -> DataFrame:
+def mix(docs: DataFrame, columns: list[str] | None = None, budget_tokens: int | None = None, entropy: float = 0.97, max_repeats: float = 4.0, blocks: int = 1 << 16, seed: int = 17, max_sources: int = 10_000) -> DataFrame:
     """The mix, one row for each reading of a document: struct ``row`` with the given columns of ``docs`` (default all),
-    and source, n_tokens, weight, epoch, block, mix_pos.
-
-    Blocks hold ``block_tokens``, or more where the corpus would else have over ``max_blocks`` of them: the table of
-    blocks is broadcast and has at most ``max_blocks + max_sources`` rows for each epoch.
-    """
+    and source, n_tokens, weight, epoch, block, mix_pos, order_in_block."""
     slim = materialise(docs.select(F.col("source").alias("source"), word_count(F.col("text")).alias("n"), _key(seed).alias("h")), "mixing")
     p = _plan(slim.select("source", "n"), budget_tokens, entropy, max_repeats, max_sources)
-    total = sum(r["tokens"] for r in p.select("tokens").collect())
-    size = max(block_tokens, -(-total // max_blocks))
-    sources = p.where("budget > 0").select(F.col("source").alias("s"), "weight", "budget", "tokens", F.ceil(F.col("tokens") / F.lit(size)).cast("long").alias("blocks"))
+    total = max(1, sum(r["tokens"] for r in p.select("tokens").collect()))
+    sources = p.where("budget > 0").select(F.col("source").alias("s"), "weight", "budget", "tokens", F.ceil(F.col("tokens") / F.lit(total) * F.lit(blocks)).cast("long").alias("blocks"))
     block = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("h")), F.col("blocks"))
-    cells = slim.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s"))).groupBy("s", "weight", "budget", "tokens", "blocks", block.alias("block")).agg(F.sum("n").alias("size"))
+    order = F.xxhash64(F.lit(seed + 3), "epoch", "h")
+
+    dealt = slim.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s")))
+    cells = dealt.groupBy("s", "weight", "budget", "tokens", "blocks", block.alias("block")).agg(F.sum("n").alias("size"))
     cells = cells.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("budget") - 1) / F.col("tokens")).cast("int"))))
     before = Window.partitionBy("s", "epoch").orderBy(F.xxhash64(F.lit(seed + 2), "epoch", "block", "s"), "block").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("at", F.col("epoch") * F.col("tokens") + F.coalesce(F.sum("size").over(before), F.lit(0))).where("at < budget")
     cells = materialise(cells.select("s", "weight", "budget", F.col("block").alias("b"), "epoch", "at", (F.col("at") + F.col("size") > F.col("budget")).alias("cut")), "mixing-blocks")
 
+    # where a cut block ends: the last document that begins before the budget is reached
+    own = dealt.select("source", "n", "h", block.alias("block")).join(F.broadcast(cells.where("cut")), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    own = own.groupBy("s", "epoch", "b", "at", "budget", "h").agg(F.sum("n").alias("n")).withColumn("o", order)
+    own = own.withColumn("to", F.sum("n").over(Window.partitionBy("s", "epoch", "b").orderBy("o", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    last = own.where(F.col("at") + F.col("to") - F.col("n") < F.col("budget")).groupBy("s", "epoch", "b").agg(F.max(F.struct("o", "h")).alias("last"))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"l.{k}")) for k in ("s", "epoch", "b")]
+    cells_cut = materialise(cells.alias("c").join(F.broadcast(last).alias("l"), same[0] & same[1] & same[2], "left").select("c.*", "l.last"), "mixing-cells")
+
     keep = columns or docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("source").alias("source"), word_count(F.col("text")).alias("n_tokens"), _key(seed).alias("h"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("source").alias("source"), F.col("text").alias("text"), _key(seed).alias("h"))
     rows = rows.join(F.broadcast(sources.select(F.col("s").alias("s0"), "blocks")), F.col("source").eqNullSafe(F.col("s0"))).withColumn("block", block)
-    rows = rows.join(F.broadcast(cells), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    order = F.xxhash64(F.lit(seed + 3), "epoch", "h")
-    inside = Window.partitionBy("s", "epoch", "block").orderBy(order, "h").rowsBetween(Window.unboundedPreceding, -1)
-    cut = rows.where("cut").withColumn("in_block", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where(F.col("at") + F.col("in_block") < F.col("budget")).drop("in_block")
-    mixed = rows.where("not cut").unionByName(cut)
-    return mixed.select("row", "source", "n_tokens", "weight", "epoch", "block", (F.col("at") / F.col("budget")).alias("mix_pos"), order.alias("order_in_block"))
+    rows = rows.join(F.broadcast(cells_cut), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    rows = rows.where(~F.col("cut") | (F.struct(order.alias("o"), "h") <= F.col("last")))
+    return rows.select("row", "source", word_count(F.col("text")).alias("n_tokens"), "weight", "epoch", "block", (F.col("at") / F.col("budget")).alias("mix_pos"), order.alias("order_in_block"))
 
 
 def resample(docs: DataFrame, **how) -> DataFrame:

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_run, received, shipped
 from .langid import held_out_fold
 
 WIDTH, STEP, DIM, FILTERS, CHUNK = 8, 2, 8, 32, 512
@@ -193,12 +194,13 @@ def fit(labelled: DataFrame, max_docs_per_class: int = 1500, max_chunks_per_doc:
 
 
 def predict(net: Network, df: DataFrame, text: str = "text") -> Column:
-    shared = df.sparkSession.sparkContext.broadcast(net)
+    shared = shipped(df.sparkSession, net)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = received(shared)
         for texts in batches:
-            yield pd.Series(shared.value.predict(texts.tolist()))
+            yield pd.Series(np.concatenate([own.predict(some) for some in by_run(texts)] or [np.empty(0)]))
 
     return score(F.col(text))
 

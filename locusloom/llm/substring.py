@@ -40,35 +40,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, materialise, release, row_ids
+from .common import M1, M2, M3, Names, bounded, discard, materialise, mix64, release, row_ids
 
 LENGTH = 13
 ROUNDS = 2
 SLICES = 4  # of the anchors, where all of them are shuffled
-M1, M2, M3 = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15))
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(33))
-    x *= M1
-    x ^= x >> np.uint64(33)
-    x *= M2
-    x ^= x >> np.uint64(33)
-    return x
-
-
-class Names(dict):
-    """Word -> 64-bit name."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
 
 
 def word_names(texts: list[str | None], names: Names) -> tuple[np.ndarray, np.ndarray]:

@@ -24,10 +24,9 @@ text; an empty table writes nothing and reads back empty; other columns are igno
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
-import sys
-import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -47,31 +46,46 @@ TAIL, TAIL_SIZE = "<QQQQ6s", 38
 ASCII_SPACE = re.compile("[ \\t\\n\\r\\x0b\\x0c]+")
 
 
-#: Characters that the tokenizer's normaliser only lower-cases one by one: ASCII and the letters of Latin-1.
-PLAIN = re.compile(r"[ -~À-ÖØ-öø-ÿ]*").fullmatch
-#: Its pre-tokens over those, lower-cased; and the space between two tokens.
-PARTS = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-z0-9ß-öø-ÿ]+").findall
-#: How byte-level tokenizers write each byte: printable ones as themselves, the others as the code points from 256 on.
-_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-BYTE_SIGNS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+#: What Python's ``str.split`` cuts at.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Those that Unicode doesn't count as white space.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Beginnings and ends of tokens on which a tokenizer is probed.
+PROBES = ["a", "Word", "É", "e\u0301", "\u0301", "1", "12", "it's", "'s", "'", "''re", "ß", "ΑΣ", "Σ", "İ", "ﬁ", "漢字", "\u0e33", "\u200d", "ก", "<", "<|", "|>", "<|endoftext|>", "!!", "-", "\ufeff", "\U0001f600", "\ud7a3", "x" * 40]
 
 
-def is_lower_word_bpe(tokenizer) -> bool:
-    """Whether a tokenizer is of the kind that ``PARTS`` reproduces; any other is always asked as a whole."""
+def parts_at_space(tokenizer) -> bool:
+    """Whether a text's ids are those of its white-space tokens in turn, so that each token needs encoding but once.
+
+    Proven from the tokenizer's own definition: its normaliser works character by character but for composition, which
+    never joins white space; only what a pattern matches is kept, and no match holds white space; nothing is added
+    before or after a text; added tokens hold no white space. It is then probed with each white-space character
+    between all kinds of neighbours. A tokenizer that fails either is always given whole texts.
+    """
     got = json.loads(tokenizer.to_str())
-    kinds = [x.get("type") for x in (got.get("normalizer") or {}).get("normalizers", [])]
-    split = [x.get("pattern", {}).get("Regex") for x in (got.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-    return kinds == ["NFC", "Replace", "Lowercase"] and split[:1] == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"] and all(x["content"].startswith("<|") for x in got["added_tokens"])
+    steps = (got.get("normalizer") or {}).get("normalizers", [])
+    local = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in steps)
+    cuts = (got.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    kept = len(cuts) == 2 and cuts[0]["type"] == "Split" and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and cuts[1]["type"] == "ByteLevel" and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+    if not (steps and local and kept and not got.get("post_processor")) or any(set(x["content"]) & set(SPACES) or x["lstrip"] or x["rstrip"] for x in got["added_tokens"]):
+        return False
+    ids = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    alone = ids(PROBES)
+    pairs = [(i, (i * 7 + k) % len(PROBES)) for i in range(len(PROBES)) for k in range(5)]
+    return all(ids([PROBES[i] + c + PROBES[j] for i, j in pairs]) == [alone[i] + alone[j] for i, j in pairs] for c in SPACES if c not in SEPARATORS)
 
 
 class _Numbers(dict):
     """Token -> its number; unseen ones are numbered and noted."""
 
     def __init__(self):
+        super().__init__()
         self.new: list[str] = []
+        self.taken = 0
 
     def __missing__(self, token: str) -> int:
         self.new.append(token)
+        self.taken += len(token) + 200  # the entry and its ids
         self[token] = n = len(self)
         return n
 
@@ -83,14 +97,14 @@ class _Ids:
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.starts, self.sizes, self.known = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), 0
 
-    def add(self, ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray | None = None) -> None:
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + ids.size > self.flat.size:
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
         while self.known + sizes.size > self.starts.size:
             self.starts, self.sizes = (np.concatenate((x, np.empty_like(x))) for x in (self.starts, self.sizes))
         own = slice(self.known, self.known + sizes.size)
         self.flat[self.used : self.used + ids.size] = ids
-        self.starts[own] = self.used + (np.cumsum(sizes) - sizes if starts is None else starts)
+        self.starts[own] = self.used + np.cumsum(sizes) - sizes
         self.sizes[own] = sizes
         self.used, self.known = self.used + ids.size, self.known + sizes.size
 
@@ -102,94 +116,55 @@ class _Ids:
 
 
 def split(text: str | None) -> list[str]:
-    """White-space tokens. Python also splits at four control characters that the tokenizer keeps; those texts are cut at ASCII white space."""
+    """White-space tokens. Python also splits at ``SEPARATORS``, which tokenizers keep; those texts are cut at ASCII white space."""
     if not text:
         return []
-    return ASCII_SPACE.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+    return ASCII_SPACE.split(text) if any(c in text for c in SEPARATORS) else text.split()
 
 
 class Encoder:
-    """Encodes texts with a tokenizer file, each white-space token once while it is in memory.
+    """Encodes whole texts with a tokenizer file; where :func:`parts_at_space` holds, each white-space token goes through
+    the library once while it is remembered (``most`` bytes at most), else each text does."""
 
-    White space always ends a pre-token and leaves no id, so a text's ids are those of its tokens in turn; this is
-    checked by the tests against encoding the whole text.
-    """
-
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 64 << 20):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.plain = is_lower_word_bpe(self.tokenizer)
-        self.model = self.tokenizer.model
-        self._fresh()
-
-    def _fresh(self) -> None:
+        self.by_token = parts_at_space(self.tokenizer)
         self.number, self.ids = _Numbers(), _Ids()
-        self.part, self.part_ids = _Numbers(), _Ids()
-        self.part[" "] = 0
-        self.part_ids.add(np.empty(0, np.uint32), np.zeros(1, np.int64))
-
-    def _plain_ids(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of plain tokens, and how many each has: one regular expression cuts them into lower-cased parts, and
-        the library's model is asked for each distinct part."""
-        which = np.fromiter(map(self.part.__getitem__, PARTS(" ".join(tokens).lower())), np.int64)
-        if new := self.part.new:
-            self.part.new = []
-            shown = [x if x.isascii() else "".join(map(BYTE_SIGNS.__getitem__, x.encode())) for x in new]
-            ids = [[t.id for t in self.model.tokenize(x)] for x in shown]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.part_ids.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size)
-        got, size = self.part_ids.gather(which)
-        return got, np.bincount(np.cumsum(which == 0), size, minlength=len(tokens)).astype(np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        plain = np.zeros(len(new), bool)
-        if self.plain:
-            for a in range(0, len(new), 256):
-                some = " ".join(new[a : a + 256])
-                plain[a : a + 256] = True if PLAIN(some) and "<|" not in some else [bool(PLAIN(t)) and "<|" not in t for t in new[a : a + 256]]
-        sizes = np.zeros(len(new), np.int64)
-        parts = []
-        if plain.any():
-            got, sizes[plain] = self._plain_ids(new if plain.all() else [t for t, p in zip(new, plain.tolist(), strict=True) if p])
-            parts.append(got)
-        for i in np.flatnonzero(~plain):
-            own = self.tokenizer.encode(new[i], add_special_tokens=False).ids
-            sizes[i] = len(own)
-            parts.append(np.array(own, np.uint32))
-        # stored plain ones first
-        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
-        starts = np.empty(len(new), np.int64)
-        starts[order] = np.cumsum(sizes[order]) - sizes[order]
-        self.ids.add(np.concatenate(parts), sizes, starts)
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each has."""
+        ids, sizes = [], np.empty(len(texts), np.int64)
+        for a in range(0, len(texts), 4096):
+            own = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + 4096], add_special_tokens=False)]
+            sizes[a : a + len(own)] = list(map(len, own))
+            ids.append(np.fromiter(chain.from_iterable(own), np.uint32, int(sizes[a : a + len(own)].sum())))
+        return np.concatenate(ids) if ids else np.empty(0, np.uint32), sizes
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has (with its end id)."""
-        if len(self.number) > self.most:
-            self._fresh()
-        tokens = [split(t) for t in texts]
-        n = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(tokens)), np.int64, int(n.sum()))
-        if new := self.number.new:
-            self.number.new = []
-            self._learn(new)
-        got, size = self.ids.gather(which)
-        total = np.concatenate(([0], np.cumsum(size)))
-        at = np.concatenate(([0], np.cumsum(n)))
-        own = total[at[1:]] - total[at[:-1]] + 1  # with the end id
+        if not self.by_token:
+            got, n = self._library([t or "" for t in texts])
+            own = n + 1
+        else:
+            if self.number.taken > self.most:
+                self.number, self.ids = _Numbers(), _Ids()
+            tokens = [split(t) for t in texts]
+            n = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(tokens)), np.int64, int(n.sum()))
+            if self.number.new:
+                new, self.number.new = self.number.new, []
+                self.ids.add(*self._library(new))
+            got, size = self.ids.gather(which)
+            total, at = np.concatenate(([0], np.cumsum(size))), np.concatenate(([0], np.cumsum(n)))
+            own = total[at[1:]] - total[at[:-1]] + 1
         out = np.full(int(own.sum()), end, np.uint32)
         out[np.arange(got.size) + np.repeat(np.arange(len(texts)), own - 1)] = got  # each earlier text has one end id
         return out, own
 
 
-def worker_encoder(path: str) -> Encoder:
-    """The encoder of this Python worker: later tasks find what earlier ones have learnt."""
-    kept = sys.modules.setdefault("locusloom_worker", types.ModuleType("locusloom_worker"))
-    if getattr(kept, "encoder_path", None) != path:
-        kept.encoder, kept.encoder_path = Encoder(path), path
-    return kept.encoder
-
-
 def pack(ids: np.ndarray) -> Iterator[bytes]:
     """The blocks of a run of ids, in order; all but the last are full."""
     for a in range(0, ids.size, BLOCK * 256):
@@ -340,7 +315,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, files: int |
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{path}/{name}"]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], ["part", "path", "docs", "ids"])
 
         for batch in bounded(batches, "text"):
-            encoder = encoder or worker_encoder(tokenizer)
+            encoder = encoder or Encoder(tokenizer)
             parts = batch.column("part").to_numpy()
             cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):

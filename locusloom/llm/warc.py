@@ -1,7 +1,8 @@
 """WARC archives as a Spark data source, and an archive of pages with revisit records.
 
 ``spark.read.format("warc")`` lists files on the driver and plans one partition for each file, or several byte ranges
-of a large one: a range owns the records that begin in it and finds the first by its signature. Each record is a gzip
+of a large ``.gz`` file: a range owns the gzip members that begin in it and finds the first by its signature. A plain file
+is one partition, as its payloads may hold what looks like a record. Each record is a gzip
 member (plain files are read too). A record's headers are parsed first, from the first few KB of the member; pushed
 predicates on headers (``=``, ``in``, ``<``, ``<=``, ``>``, ``>=``, ``like 'x%'``, null tests on record_id,
 record_type, target_uri, refers_to, payload_digest, content_length) are judged on them, and the payload of a rejected
@@ -138,7 +139,7 @@ class Range(InputPartition):
 class Window:
     """A growing view of a file from some place on."""
 
-    def __init__(self, source, at: int, step: int = 1 << 20):
+    def __init__(self, source, at: int, step: int = 1 << 17):
         self.source, self.at, self.step, self.data, self.done = source, at, step, b"", False
 
     def more(self) -> bool:
@@ -160,20 +161,23 @@ class Window:
 
 
 def _first(view: Window, end: int) -> bool:
-    """Move to the first record that begins before ``end``."""
+    """Move to the first gzip member that begins before ``end`` and holds a record.
+
+    Plain records are read from the start of a file on, never searched for: a payload may hold what looks like one.
+    """
+    if view.at == 0 and view.need(7) and view.data.startswith(b"WARC/1."):
+        return True
     while view.at < end:
         if not view.need(4):
             return False
-        at = min((i for i in (view.data.find(b"\x1f\x8b\x08"), view.data.find(b"WARC/1.")) if i >= 0), default=-1)
+        at = view.data.find(b"\x1f\x8b\x08")
         if at < 0:
-            view.leap(max(1, len(view.data) - 6))
+            view.leap(max(1, len(view.data) - 2))
             continue
         view.leap(at)
         if view.at >= end:
             return False
         view.need(1 << 12)
-        if view.data.startswith(b"WARC/1."):
-            return True
         try:
             if zlib.decompressobj(31).decompress(view.data, 16).startswith(b"WARC/"):
                 return True
@@ -188,6 +192,8 @@ def records(source, start: int, end: int, tests: list[Test], payload: bool) -> I
     view = Window(source, start)
     if not _first(view, end):
         return
+    if view.data.startswith(b"WARC/1."):
+        end = 1 << 62  # a plain file is one range
     while view.at < end and view.need(4):
         if view.data.startswith(b"\x1f\x8b\x08"):
             inflate, text, used = zlib.decompressobj(31), b"", 0
@@ -269,7 +275,8 @@ class WarcReader(DataSourceReader):
         files = [found] if found.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
         files = sorted((f.path, f.size) for f in files if f.type == pafs.FileType.File and f.size and not f.base_name.startswith(("_", ".")))
         prefix = self.path[: len(self.path) - len(folder)] if self.path.endswith(folder) else self.path.split("://")[0] + "://" if "://" in self.path else ""
-        return [Range(prefix + p, a, min(a + self.split, n)) for p, n in files for a in range(0, n, self.split)] or [Range("", 0, 0)]
+        ranges = [Range(prefix + p, a, min(a + s, n)) for p, n in files for s in [self.split if p.endswith(".gz") else n] for a in range(0, n, s)]
+        return ranges or [Range("", 0, 0)]
 
     def read(self, partition):
         if not partition.path:
@@ -295,20 +302,21 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path, self.level = options["path"], int(options.get("level", 3))
+        self.pending = f"_pending-{uuid.uuid4().hex}"  # this job's own
 
     def write(self, iterator):
         name = f"part-{uuid.uuid4().hex}.warc.gz"
         fs, folder = filesystem(self.path)
-        fs.create_dir(f"{folder}/_pending", recursive=True)
+        fs.create_dir(f"{folder}/{self.pending}", recursive=True)
         some = False
-        with fs.open_output_stream(f"{folder}/_pending/{name}", compression=None) as sink:
+        with fs.open_output_stream(f"{folder}/{self.pending}/{name}", compression=None) as sink:
             for batch in iterator:
                 columns = [batch.column(batch.schema.get_field_index(c)) for c in ("record_id", "record_type", "target_uri", "refers_to", "payload_digest", "payload_length", "payload")]
                 for i in range(batch.num_rows):
                     some = True
                     sink.write(member(record(*[c[i].as_py() for c in columns]), self.level))
         if not some:
-            fs.delete_file(f"{folder}/_pending/{name}")
+            fs.delete_file(f"{folder}/{self.pending}/{name}")
         return Written(name if some else None)
 
     def commit(self, messages):
@@ -316,13 +324,13 @@ class WarcWriter(DataSourceArrowWriter):
         fs.create_dir(folder, recursive=True)
         for m in messages:
             if m and m.name:
-                fs.move(f"{folder}/_pending/{m.name}", f"{folder}/{m.name}")
+                fs.move(f"{folder}/{self.pending}/{m.name}", f"{folder}/{m.name}")
         self.abort(messages)
 
     def abort(self, messages):
         fs, folder = filesystem(self.path)
-        if fs.get_file_info(f"{folder}/_pending").type == pafs.FileType.Directory:
-            fs.delete_dir(f"{folder}/_pending")
+        if fs.get_file_info(f"{folder}/{self.pending}").type == pafs.FileType.Directory:
+            fs.delete_dir(f"{folder}/{self.pending}")
 
 
 class WarcSource(DataSource):

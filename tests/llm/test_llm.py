@@ -4,6 +4,7 @@ import collections
 import hashlib
 import io
 import math
+import os
 import random
 import zlib
 
@@ -70,7 +71,7 @@ def test_mixing_realises_budgets(spark):
         texts.append(" ".join(prose(i, 5 + i % 40)))
     df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, (t, s) in enumerate(zip(texts, sources))], DOCS)
     plan = {r["source"]: r for r in mixing.plan(df, entropy=0.95).collect()}
-    rows = mixing.readings(df, entropy=0.95, block_tokens=200).collect()
+    rows = mixing.readings(df, entropy=0.95, blocks=36).collect()
     n = {i: len(t.split()) for i, t in enumerate(texts)}
     got, times = collections.Counter(), collections.Counter()
     for r in rows:
@@ -88,6 +89,44 @@ def test_mixing_realises_budgets(spark):
             assert len(ids) == sources.count(s)
 
 
+def test_mixing_realises_the_order_by_definition(spark):
+    """Every reading, its block, epoch and place against a plain walk through the permutations."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    rows = [(i, " ".join(prose(i, r.randrange(0, 30))), "en", r.choice(["a", "a", "a", "a", "b", None]), 0) for i in range(200)]
+    rows += [rows[5], rows[6], rows[6]]  # repeated rows
+    df, seed, blocks = spark.createDataFrame(rows, DOCS), 17, 12
+    plan = {p["source"]: p for p in mixing.plan(df, entropy=0.98).collect()}
+    total = sum(p["tokens"] for p in plan.values())
+    keyed = df.select("doc_id", "source", mixing.word_count(F.col("text")).alias("n"), mixing._key(seed).alias("h"))
+    hashes = lambda values, kinds: [x[0] for x in spark.createDataFrame(values, kinds).select(F.xxhash64("*")).collect()] if values else []
+    want = []
+    for s, p in plan.items():
+        own = [x for x in keyed.collect() if x["source"] == s]
+        n_blocks = math.ceil(p["tokens"] / total * blocks)
+        block = [h % n_blocks for h in hashes([(seed + 1, x["h"]) for x in own], "a int, b long")]
+        at = epoch = 0
+        while at < p["budget"]:
+            used = sorted(set(block))
+            order = hashes([(seed + 2, epoch, b, s) for b in used], "a int, b int, c long, d string")
+            for _, b in sorted(zip(order, used)):
+                if at >= p["budget"]:
+                    break
+                inside = [x for x, k in zip(own, block) if k == b]
+                rank = hashes([(seed + 3, epoch, x["h"]) for x in inside], "a int, b int, c long")
+                to, last = at, None
+                for o, x in sorted(zip(rank, inside), key=lambda y: (y[0], y[1]["h"])):
+                    if to < p["budget"] or last == x["h"]:
+                        want.append((x["doc_id"], s, x["n"], epoch, b, round(at / p["budget"], 9), o))
+                        last = x["h"]
+                    to += x["n"]
+                at += sum(x["n"] for x in inside)
+            epoch += 1
+    got = [(x["doc_id"], x["source"], x["n_tokens"], x["epoch"], x["block"], round(x["mix_pos"], 9), x["order_in_block"]) for x in mixing.readings(df, entropy=0.98, blocks=blocks).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len({x[3] for x in got}) > 1
+
+
 def test_mixing_edges(spark, odd):
     assert mixing.readings(empty(spark)).count() == 0
     assert set(mixing.resample(odd).columns) == set(odd.columns)
@@ -612,11 +651,21 @@ def test_substring_edges(spark, odd):
 # 10: token files
 
 
-def test_encoder_equals_the_library():
-    texts = [" ".join(prose(i, 50)) for i in range(5)] + [None, "", " ", "It'S DON'T we'll 12 ÀÉß×÷ x{}[]_~ $$$ÿ1 \"İSTANBUL\" ﬁ Ångström ½ ª", "a<|endoftext|>b <|startoftext|>", "é Ä Σ ΑΣ. \x1c\x1d a\x85b　c​", "日本語 テスト 한국어 🙂 👩‍🔬", "a" * 300, "'s''ll"]
-    e, t = tokenbin.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
-    assert e.plain
-    for _ in range(2):
+ODD_TEXTS = [" ".join(prose(i, 50)) for i in range(5)] + [None, "", " ", "It'S DON'T we'll 12 ÀÉß×÷ x{}[]_~ $$$ÿ1 \"İSTANBUL\" ﬁ Ångström ½ ª", "a<|endoftext|>b <|startoftext|>", "é Ä Σ ΑΣ. \x1c\x1d a\x85b　c​", "日本語 テスト 한국어 🙂 👩‍🔬", "a" * 300, "'s''ll", "The quick  brown fox\n\njumps it's", "a \u0301b\u0301 \u0301", "\ttabs\x0b \u2028 end "]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_the_library(name):
+    """Every tokenizer file of the library, on odd texts and on the driver's own, against encoding each whole text."""
+    texts = ODD_TEXTS[:]
+    if os.path.isdir("/root/testdata/sf0.001"):
+        import duckdb
+
+        texts += [r[0] for r in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    e, t = tokenbin.Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    assert e.by_token == (name == "word_bpe_49k.json")  # byte-level ids depend on the space before a word
+    for most in (64 << 20, 1):
+        e.most = most
         ids, sizes = e.encode(texts, 2)
         at = 0
         for text, n in zip(texts, sizes):
@@ -624,6 +673,15 @@ def test_encoder_equals_the_library():
             at += n
 
 
+def test_encoder_takes_whole_texts_unless_space_parts_them():
+    t = Tokenizer.from_file(TOKENIZER)
+    assert tokenbin.parts_at_space(t)
+    import json
+
+    for change in ({"post_processor": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFKC"}]}}, {"normalizer": None}):
+        assert not tokenbin.parts_at_space(Tokenizer.from_str(json.dumps(json.loads(t.to_str()) | change)))
+
+
 def test_blocks_round_trip():
     r = np.random.default_rng(2)
     for ids in (np.empty(0, np.uint32), np.array([7], np.uint32), r.integers(0, 50000, 5000).astype(np.uint32), np.full(3000, 9, np.uint32), np.where(r.random(9000) < 0.01, 2**32 - 1, r.integers(5, 9, 9000)).astype(np.uint32)):
