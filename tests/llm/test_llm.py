@@ -15,7 +15,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from locusloom.llm import decontam, fingerprint, langid, mixing, neardup, quality, substring, tokenbin, warc
-from locusloom.llm.common import range_parts
+from locusloom.llm.common import hashed_words, range_parts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -334,6 +334,24 @@ def levenshtein(a, b):
     return p[-1]
 
 
+def test_words_are_those_of_python():
+    texts = ["A b\tC\n d", None, "", " \u3000x\xa0Y\x1cz ", "É é e\u0301", "a" * 5000 + " " + "a" * 4999, "\x00 \x00\x00"]
+    name, n = hashed_words(texts)
+    words = [(t or "").lower().split() for t in texts]
+    assert n.tolist() == list(map(len, words))
+    flat = [w for own in words for w in own]
+    assert len(dict(zip(name.tolist(), flat))) == len(dict(zip(flat, name.tolist()))) == len(set(flat))
+
+
+def test_histograms_bound_edits():
+    r = random.Random(6)
+    for n in (10, 300, 3000):
+        a = [f"w{r.randrange(n)}" for _ in range(n)]
+        b = a[: n - n // 7] + [f"v{r.randrange(n)}" for _ in range(n // 9)]
+        x, y = neardup.histograms(*hashed_words([" ".join(a), " ".join(b), ""]))
+        assert 0 < neardup.least_edits(x, y) == neardup.least_edits(y, x) <= n // 7
+
+
 def test_banded_distance():
     r = random.Random(1)
     for _ in range(800):
@@ -349,22 +367,22 @@ def test_banded_distance():
 
 def test_order_min_hash_follows_its_definition():
     text = " ".join(prose(4, 60) + prose(4, 60))
-    name, n = neardup.word_names([text, "two words", "w"], neardup.Names())
+    name, n = hashed_words([text, "two words", "w"])
     h, count = neardup.shingles(name, n)
     assert count.tolist() == [116, 1, 1] and len(set(h[:116].tolist())) == 116  # repeated shingles are told apart by number
     s = neardup.minima(h, count)
     moved = " ".join((prose(4, 60) + prose(4, 60))[60:] + ["x"] + (prose(4, 60) + prose(4, 60))[:60])
-    g, m = neardup.shingles(*neardup.word_names([moved], neardup.Names()))
+    g, m = neardup.shingles(*hashed_words([moved]))
     assert 0 < (s[0] == neardup.minima(g, m)[0]).mean() < 1
     own = neardup.sketch(name, n)
     assert set(own[0].tolist()) == set(s[0].view(np.int64).tolist()) and own[1].size == own[2].size == 1
-    assert (neardup.sketch(*neardup.word_names([text], neardup.Names()))[0] == own[0]).all()
+    assert (neardup.sketch(*hashed_words([text]))[0] == own[0]).all()
 
 
 def test_turned_minima_follow_their_definition():
     """The two shingles after each point of the circle of hashes, in text order; texts near the border take both kinds."""
     texts = [" ".join(f"w{i}x{k}" for k in range(n)) for i, n in enumerate((150, 260, 900))]
-    name, n = neardup.word_names(texts, neardup.Names())
+    name, n = hashed_words(texts)
     h, count = neardup.shingles(name, n)
     got = neardup.turned(h, count)
     first = np.cumsum(count) - count
@@ -379,7 +397,7 @@ def test_turned_minima_follow_their_definition():
     assert sizes[0] <= 128 < sizes[1] and sizes[2] <= 128
     w = texts[2].split()
     w[450:500] = [f"v{k}" for k in range(50)]
-    a, b = neardup.sketch(*neardup.word_names([texts[2], " ".join(w)], neardup.Names()))
+    a, b = neardup.sketch(*hashed_words([texts[2], " ".join(w)]))
     assert 0.6 < np.intersect1d(a, b).size / a.size < 1
 
 
@@ -404,8 +422,7 @@ def test_near_duplicate_groups(spark):
     docs = docs_of(spark, texts)
     got = {x["doc_id"]: x for x in neardup.group(docs).collect()}
     assert len(got) == len(texts)
-    names = neardup.Names()
-    w = [neardup.word_names([t], names)[0] for t in texts]
+    w = [hashed_words([t])[0] for t in texts]
     parent = list(range(len(texts)))
 
     def find(i):
@@ -470,8 +487,7 @@ def test_large_groups_of_unlike_texts_stay_apart(spark):
             chain[k] = r.choice(words)
         texts.append(chain + shared[:40])
     got = {x["doc_id"]: x["class_id"] for x in neardup.group(docs_of(spark, [" ".join(w) for w in texts])).collect()}
-    names = neardup.Names()
-    w = [neardup.word_names([" ".join(t)], names)[0] for t in texts]
+    w = [hashed_words([" ".join(t)])[0] for t in texts]
     parent = list(range(len(texts)))
 
     def find(i):
@@ -497,10 +513,8 @@ def test_prefixes_lose_no_near_pair(spark):
             w[r.randrange(len(w))] = r.choice(words)
         texts.append(w)
     texts = [list(t) for t in {tuple(t) for t in texts}]
-    names = neardup.Names()
-    w = [neardup.word_names([" ".join(t)], names)[0] for t in texts]
-    rows = spark.createDataFrame([(i, i, " ".join(t)) for i, t in enumerate(texts)], "node long, root long, text string")
-    listed = neardup.prefixes(rows, neardup.word_counts(rows))
+    w = [hashed_words([" ".join(t)])[0] for t in texts]
+    rows = spark.createDataFrame([(0, i, i, len(t), " ".join(t)) for i, t in enumerate(texts)], "key long, node long, root long, size int, text string")
     before, neardup.OUTSIDE = neardup.OUTSIDE, 3
     try:
         asked = []
@@ -511,11 +525,11 @@ def test_prefixes_lose_no_near_pair(spark):
             return spark.createDataFrame([p for p in got if neardup.near(w[p[0]], w[p[1]])], "a long, b long")
 
         none = spark.createDataFrame([], "a long, b long")
-        links, root = neardup.join_prefixes(listed, none, none.toDF("node", "root"), compared)
+        links, root = neardup.resolve(rows, rows.select("node", "text"), none, none.toDF("node", "root"), compared)
     finally:
         neardup.OUTSIDE = before
     got = {x["node"]: x["root"] for x in root.collect()}
-    assert len(asked) == 3 and all(asked)
+    assert len(asked) == 4 and all(asked)
     near = [(i, j) for i in range(len(w)) for j in range(i) if neardup.near(w[i], w[j])]
     assert near and all(got.get(i, i) == got.get(j, j) for i, j in near)
     assert all(neardup.near(w[x["a"]], w[x["b"]]) for x in links.collect())
