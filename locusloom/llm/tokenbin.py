@@ -75,6 +75,26 @@ def parts_at_space(tokenizer) -> bool:
     return all(ids([PROBES[i] + c + PROBES[j] for i, j in pairs]) == [alone[i] + alone[j] for i, j in pairs] for c in SPACES if c not in SEPARATORS)
 
 
+#: The pattern whose matches are pre-tokens, fixed by the tokenizer file; and the same over PLAIN text, lower-cased, with the space between two tokens.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_PARTS = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-z0-9ß-öø-ÿ]+").findall
+#: ASCII and the letters of Latin-1: lower-casing maps these one to one, and composition leaves them alone.
+PLAIN = re.compile(r"[ -~À-ÖØ-öø-ÿ]*").fullmatch
+
+
+def parts_at_pattern(tokenizer) -> bool:
+    """Whether the ids of a plain token are those of its pre-tokens in turn: the pattern is the known one, the tokenizer
+    lower-cases, added tokens are not plain words, and probes agree."""
+    got = json.loads(tokenizer.to_str())
+    cut = (got.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+    if cut != PATTERN or "Lowercase" not in [x["type"] for x in got["normalizer"]["normalizers"]] or any(not x["content"].startswith("<|") for x in got["added_tokens"]):
+        return False
+    ids = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    some = ["a", "Ab", "É", "ß", "ÿ", "'", "'s", "'RE", "7", "-", "--", "<", "|", "_", "$"]
+    probes = [x + y + z for x in some for y in some for z in some if "<|" not in x + y + z]
+    return ids(probes) == [[i for part in ids(PLAIN_PARTS(x.lower())) for i in part] for x in probes]
+
+
 class _Numbers(dict):
     """Token -> its number; unseen ones are numbered and noted."""
 
@@ -123,8 +143,9 @@ def split(text: str | None) -> list[str]:
 
 
 class Encoder:
-    """Encodes whole texts with a tokenizer file; where :func:`parts_at_space` holds, each white-space token goes through
-    the library once while it is remembered (``most`` bytes at most), else each text does."""
+    """Encodes whole texts with a tokenizer file and its library. What the library has once encoded is remembered (``most``
+    bytes at most): pre-tokens of plain words where :func:`parts_at_pattern` holds, white-space tokens where
+    :func:`parts_at_space` does; for any other tokenizer the library gets each text whole."""
 
     def __init__(self, path: str, most: int = 64 << 20):
         from tokenizers import Tokenizer
@@ -132,7 +153,14 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.by_token = parts_at_space(self.tokenizer)
+        self.by_part = self.by_token and parts_at_pattern(self.tokenizer)
+        self._forget()
+
+    def _forget(self) -> None:
         self.number, self.ids = _Numbers(), _Ids()
+        self.part, self.part_ids = _Numbers(), _Ids()
+        self.part[" "] = 0
+        self.part_ids.add(np.empty(0, np.uint32), np.zeros(1, np.int64))
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each has."""
@@ -143,20 +171,55 @@ class Encoder:
             ids.append(np.fromiter(chain.from_iterable(own), np.uint32, int(sizes[a : a + len(own)].sum())))
         return np.concatenate(ids) if ids else np.empty(0, np.uint32), sizes
 
+    def _pre_tokens(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`_library`, of pre-tokens: many in one text, where the library tells which id is of which."""
+        ids, sizes = [], []
+        for a in range(0, len(parts), 2048):
+            own = parts[a : a + 2048]
+            got = self.tokenizer.encode(" ".join(own), add_special_tokens=False)
+            of = got.word_ids
+            ids.append(np.array(got.ids, np.uint32))
+            sizes.append(np.bincount(np.array(of, np.int64), minlength=len(own)))
+            if of and of[-1] != len(own) - 1:
+                raise ValueError("a pre-token came apart")
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`_library`, of white-space tokens; plain ones are cut into pre-tokens, each of which the library is asked for once."""
+        plain = np.zeros(len(tokens), bool)
+        for a in range(0, len(tokens) if self.by_part else 0, 256):
+            some = " ".join(tokens[a : a + 256])
+            plain[a : a + 256] = True if PLAIN(some) and "<|" not in some else [bool(PLAIN(t)) and "<|" not in t for t in tokens[a : a + 256]]
+        if not plain.any():
+            return self._library(tokens)
+        which = np.fromiter(map(self.part.__getitem__, PLAIN_PARTS(" ".join([t for t, p in zip(tokens, plain.tolist(), strict=True) if p]).lower())), np.int64)
+        if self.part.new:
+            new, self.part.new = self.part.new, []
+            self.part_ids.add(*self._pre_tokens(new))
+        got, size = self.part_ids.gather(which)
+        if plain.all():
+            return got, np.bincount(np.cumsum(which == 0), size, minlength=len(tokens)).astype(np.int64)
+        sizes = np.empty(len(tokens), np.int64)
+        sizes[plain] = np.bincount(np.cumsum(which == 0), size, minlength=int(plain.sum())).astype(np.int64)
+        odd, sizes[~plain] = self._library([t for t, p in zip(tokens, plain.tolist(), strict=True) if not p])
+        out, of_plain = np.empty(int(sizes.sum()), np.uint32), np.repeat(plain, sizes)
+        out[of_plain], out[~of_plain] = got, odd
+        return out, sizes
+
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has (with its end id)."""
         if not self.by_token:
             got, n = self._library([t or "" for t in texts])
             own = n + 1
         else:
-            if self.number.taken > self.most:
-                self.number, self.ids = _Numbers(), _Ids()
+            if self.number.taken + self.part.taken > self.most:
+                self._forget()
             tokens = [split(t) for t in texts]
             n = np.fromiter(map(len, tokens), np.int64, len(tokens))
             which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(tokens)), np.int64, int(n.sum()))
             if self.number.new:
                 new, self.number.new = self.number.new, []
-                self.ids.add(*self._library(new))
+                self.ids.add(*self._tokens(new))
             got, size = self.ids.gather(which)
             total, at = np.concatenate(([0], np.cumsum(size))), np.concatenate(([0], np.cumsum(n)))
             own = total[at[1:]] - total[at[:-1]] + 1
