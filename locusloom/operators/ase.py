@@ -14,41 +14,77 @@ from .reads import waterfall
 BASES = ("A", "C", "G", "T")
 
 
-def site_reason(blacklisted: Column, min_imp: float = 0.0, min_gp: float = 0.0, all_sites: bool = False) -> Column:
-    """Why a variant (ref, alts array, gt, imp_qual, gp) is left out; the first reason in a fixed order wins."""
-    multi, snp = F.size("alts") > 1, (F.length("ref") == 1) & (F.length(F.element_at("alts", 1)) == 1)
-    bases = F.col("ref").isin(*BASES) & F.element_at("alts", 1).isin(*BASES)
-    missing = columns.dosage(F.col("gt")).isNull()
+def site_reason(blacklisted: Column, excluded: Column | None = None, absent: Column | None = None, genome: bool = False, auto_flip: bool = False, min_imp: float = 0.0, min_gp: float = 0.0) -> Column:
+    """Why a variant (ref, alts array, gt, imp_qual, gp) is left out; the first reason in this order wins.
+
+    VMA several alternatives; VU left out by the user; VCNIB chromosome without reads; VB blacklisted; VI no single base;
+    VMRA allele missing; then, with ``genome`` (column ``genome``: the sequence's base, null beyond it), VNIF not in the
+    sequence and VWR neither allele fits it (with ``auto_flip`` the alternative, or the complement of the reference, may);
+    VBI low imputation score (variants without one stay); VMGT no genotype; VMG allele missing; VH homozygous;
+    VBG low genotype probability (variants without one stay).
+    """
+    no, ref, alt = F.lit(False), F.col("ref"), F.element_at("alts", 1)
+    missing = lambda x: x.isNull() | x.isin("N", "", ".")
+    alleles = F.split("gt", r"[/|]")
     tests = [
-        ("VMA", multi),
-        ("VI", ~snp),
-        ("VMRA", ~bases),
+        ("VMA", F.size("alts") > 1),
+        ("VU", no if excluded is None else excluded),
+        ("VCNIB", no if absent is None else absent),
         ("VB", blacklisted),
-        ("VNIF", F.lit(min_imp > 0) & F.col("imp_qual").isNull()),
-        ("VBI", F.coalesce(F.col("imp_qual") < min_imp, F.lit(False))),
-        ("VMGT", F.col("gt").isNull()),
-        ("VMG", missing),
-        ("VBG", F.coalesce(F.col("gp") < min_gp, F.lit(False))),
+        ("VI", (F.length("ref") > 1) | (F.length(alt) > 1)),
+        ("VMRA", missing(ref) | missing(alt)),
     ]
-    if not all_sites:
-        tests.append(("VH", columns.dosage(F.col("gt")) != 1))
-    return waterfall(tests)
+    if genome:
+        fits = ref == F.col("genome")
+        if auto_flip:
+            fits = fits | (alt == F.col("genome")) | (columns.complement(ref) == F.col("genome"))
+        tests += [("VNIF", F.col("genome").isNull()), ("VWR", ~fits)]
+    return waterfall([
+        *tests,
+        ("VBI", F.coalesce(F.col("imp_qual") < min_imp, no) if min_imp > 0 else no),
+        ("VMGT", F.col("gt").isNull()),
+        ("VMG", F.array_contains(alleles, ".")),
+        ("VH", F.element_at(alleles, 1) == F.element_at(alleles, -1)),
+        ("VBG", F.coalesce(F.col("gp") < min_gp, no) if min_gp > 0 else no),
+    ])
 
 
-def sites(variants: DataFrame, blacklist: DataFrame | None = None, bin_size: int = 10_000, **how) -> DataFrame:
-    """Variants (chr, pos, id, ref, alts, gt, imp_qual, gp) with ``reason``; of passing ones at one position the first
-    (by id) stays and is marked ``dup``, the others get VD. Missing ids become chr_pos_refalt."""
-    v = variants.withColumn("id", F.when(F.col("id").isNull() | (F.col("id") == "."), F.concat_ws("_", "chr", "pos", F.concat("ref", F.element_at("alts", 1)))).otherwise(F.col("id")))
-    black = F.lit(False)
+def sites(variants: DataFrame, blacklist: DataFrame | None = None, bin_size: int = 10_000, chromosomes: DataFrame | None = None, exclude: DataFrame | None = None, genome: bool = False, auto_flip: bool = False, **how) -> DataFrame:
+    """Variants (chr, pos, id, ref, alts, gt, imp_qual, gp) with ``reason``, ``dup`` and ``notes``.
+
+    ``chromosomes`` (chr) are those with reads, ``exclude`` (id) variants to leave out. Of passing ones at one position the
+    first (by id) stays, the others get VD. ``dup`` marks those kept where the file has the position again, whatever
+    became of the other variant (multi-allelic ones and those the user left out don't count).
+    Missing ids become chr_pos_refalt. Notes of passing variants: VS alleles swapped, VF put on the other strand (``ref``
+    and ``alts`` are changed so), VMI id was missing, VDK kept at a position that comes again.
+    """
+    no_id = F.col("id").isNull() | F.col("id").isin("", ".")
+    v = variants.withColumn("_mi", no_id).withColumn("id", F.when(no_id, F.concat_ws("_", "chr", "pos", F.concat("ref", F.element_at("alts", 1)))).otherwise(F.col("id")))
+    black, excluded, absent = F.lit(False), None, None
     if blacklist is not None:
         b = blacklist.select(F.col("chr").alias("bchr"), F.col("start").alias("bstart"), F.col("end").alias("bend"))
-        inside = range_join(v.select("chr", "pos", "id"), b, "chr", F.col("pos"), F.col("pos"), "bchr", F.col("bstart"), F.col("bend"), bin_size, "left_semi").withColumn("_black", F.lit(True))
-        v = v.join(inside, ["chr", "pos", "id"], "left")
+        spots = v.select(F.col("chr").alias("_vc"), F.col("pos").alias("_vp")).distinct()
+        inside = range_join(spots, b, "_vc", F.col("_vp"), F.col("_vp"), "bchr", F.col("bstart"), F.col("bend"), bin_size, "left_semi").withColumn("_black", F.lit(True))
+        v = v.join(inside, (F.col("chr") == F.col("_vc")) & (F.col("pos") == F.col("_vp")), "left").drop("_vc", "_vp")
         black = F.coalesce("_black", F.lit(False))
-    v = v.withColumn("reason", site_reason(black, **how)).drop("_black")
-    at = Window.partitionBy("chr", "pos", "reason")
-    rank, n = F.row_number().over(at.orderBy("id")), F.count("*").over(at)
-    return v.withColumn("_k", rank).withColumn("dup", (F.col("reason") == "PASS") & (n > 1)).withColumn("reason", F.when((F.col("reason") == "PASS") & (F.col("_k") > 1), "VD").otherwise(F.col("reason"))).drop("_k")
+    if exclude is not None:
+        v = v.join(exclude.select(F.col("id").alias("_xid")).distinct(), F.col("id") == F.col("_xid"), "left")
+        excluded = F.col("_xid").isNotNull()
+    if chromosomes is not None:
+        v = v.join(chromosomes.select(F.col("chr").alias("_rc")).distinct(), F.col("chr") == F.col("_rc"), "left")
+        absent = F.col("_rc").isNull()
+    v = v.withColumn("reason", site_reason(black, excluded, absent, genome, auto_flip, **how)).drop("_black", "_xid", "_rc")
+    passing, alt = F.col("reason") == "PASS", F.element_at("alts", 1)
+    swap = flip = F.lit(False)
+    if genome and auto_flip:
+        swap = passing & (F.col("ref") != F.col("genome")) & (alt == F.col("genome"))
+        flip = passing & (F.col("ref") != F.col("genome")) & ~(alt == F.col("genome"))
+    v = v.withColumn("_swap", swap).withColumn("_flip", flip)
+    v = v.withColumns({"ref": F.when(F.col("_swap"), alt).when(F.col("_flip"), columns.complement(F.col("ref"))).otherwise(F.col("ref")), "alts": F.when(F.col("_swap"), F.array("ref")).when(F.col("_flip"), F.array(columns.complement(alt))).otherwise(F.col("alts"))})
+    again = F.count_if(~F.col("reason").isin("VMA", "VU")).over(Window.partitionBy("chr", "pos")) > 1
+    v = v.withColumn("_k", F.row_number().over(Window.partitionBy("chr", "pos", "reason").orderBy("id"))).withColumn("dup", passing & (F.col("_k") == 1) & again).withColumn("reason", F.when(passing & (F.col("_k") > 1), "VD").otherwise(F.col("reason")))
+    notes = F.array_compact(F.array(F.when(F.col("_swap"), "VS"), F.when(F.col("_flip"), "VF"), F.when(F.col("_mi"), "VMI"), F.when(F.col("dup"), "VDK")))
+    return v.withColumn("notes", F.when(F.col("reason") == "PASS", notes).otherwise(F.array().cast("array<string>"))).drop("_k", "_mi", "_swap", "_flip")
 
 
 def orient(df: DataFrame, genome: str = "genome") -> DataFrame:

@@ -9,8 +9,8 @@ from .intervals import nearest, range_join
 
 
 def at_quantile(values: str, q: float, n: Column | int) -> Column:
-    """Element round(n * q) (from 0) of the sorted values."""
-    return F.element_at(F.array_sort(values), (F.round(F.lit(q) * n) + 1).cast("int"))
+    """Element round(n * q) (from 0) of the n sorted values, the last one at most."""
+    return F.element_at(F.array_sort(values), F.least(F.round(F.lit(q) * n) + 1, F.size(values)).cast("int"))
 
 
 def empirical(null: DataFrame, observed: Column, total: Column, value: str = "n") -> DataFrame:
@@ -22,7 +22,8 @@ def empirical(null: DataFrame, observed: Column, total: Column, value: str = "n"
 
     def odds(q):
         e, o = at_quantile("_v", q, F.col("N")) / F.col("total"), F.col("obs") / F.col("total")
-        return (o * (1 - e)) / F.nullif(e * (1 - o), F.lit(0.0))
+        up, down = o * (1 - e), e * (1 - o)  # a division of doubles: infinite, or NaN for 0 / 0
+        return F.when(down != 0, up / F.nullif(down, F.lit(0.0))).when(up > 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
 
     return one.select("obs", "total", "null_mean", "null_sd", F.least(F.lit(1.0), (2 * F.least("_ge", "_le") + 1) / (F.col("N") + 1)).alias("p"), odds(0.025).alias("or_q025"), odds(0.5).alias("or_median"), odds(0.975).alias("or_q975"))
 

@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 
 
 def range_join(left: DataFrame, right: DataFrame, chr_l: str, lo: Column, hi: Column, chr_r: str, start: Column, end: Column, bin_size: int, how: str = "inner") -> DataFrame:
-    """Pairs with equal chromosome and start <= hi and lo <= end. Columns of both sides must have different names."""
+    """Pairs with equal chromosome and start <= hi and lo <= end. Columns of both sides must have different names.
+
+    ``left_semi`` and ``left_anti`` keep each row of ``left`` as often as it comes, whatever its other columns hold; rows
+    without a chromosome or a bound have no partner.
+    """
+    if how in ("left_semi", "left_anti"):  # whether a row has a partner depends on its chromosome and bounds alone
+        asked = left.select(F.col(chr_l).alias("_c"), lo.alias("_l"), hi.alias("_h")).distinct()
+        found = range_join(asked, right, "_c", F.col("_l"), F.col("_h"), chr_r, start, end, bin_size).select("_c", "_l", "_h").distinct()
+        return left.join(found, (F.col(chr_l) == F.col("_c")) & (lo == F.col("_l")) & (hi == F.col("_h")), how)
     a = left.withColumn("_lo", F.floor(lo / bin_size)).withColumn("_hi", F.floor(hi / bin_size)).where("_lo <= _hi").withColumn("_bin", F.explode(F.sequence("_lo", "_hi")))
     b = right.withColumn("_first", F.floor(start / bin_size)).withColumn("_b", F.explode(F.sequence("_first", F.floor(end / bin_size))))
     pairs = (F.col(chr_l) == F.col(chr_r)) & (F.col("_bin") == F.col("_b")) & (start <= hi) & (lo <= end)
-    if how in ("left_semi", "left_anti"):
-        return a.join(b, pairs, "left_semi").select(*left.columns).distinct() if how == "left_semi" else left.join(a.join(b, pairs, "left_semi").select(*left.columns).distinct(), left.columns, "left_anti")
     return a.join(b, pairs & (F.col("_bin") == F.greatest("_lo", "_first"))).drop("_lo", "_hi", "_bin", "_first", "_b")
 
 
@@ -53,13 +59,17 @@ def tile(hotspots: DataFrame, chrom: str = "chr", start0: str = "start0", end: s
 
 
 def nearest(points: DataFrame, anchors: DataFrame, chrom: str = "chr", pos: str = "pos", anchor_pos: str = "pos", anchor_id: str = "anchor_id") -> DataFrame:
-    """Each point with the nearest anchor of its chromosome at or before it, and after it: one sort, no pairs."""
+    """Each point with the nearest anchor of its chromosome at or before it, and after it: two sorts, no pairs.
+
+    Both are running last values, one in each direction, so a point costs the same however many follow it.
+    """
     a = anchors.select(F.col(chrom).alias("chr"), F.col(anchor_pos).alias("_p"), F.struct(F.col(anchor_pos).alias("at"), F.col(anchor_id).alias("id")).alias("_a"), F.lit(0).alias("_k"), F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("_row"))
     p = points.select(F.col(chrom).alias("chr"), F.col(pos).alias("_p"), F.lit(None).cast(a.schema["_a"].dataType).alias("_a"), F.lit(1).alias("_k"), F.struct(*points.columns).alias("_row"))
     both = a.unionByName(p)
     w = Window.partitionBy("chr").orderBy("_p", "_k")
     before = F.last("_a", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_a", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("chr").orderBy(F.col("_p").desc(), F.col("_k").desc())
+    after = F.last("_a", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     out = both.withColumn("_before", before).withColumn("_after", after).where("_k = 1")
     return out.select("_row.*", F.col("_before.at").alias("before_pos"), F.col("_before.id").alias("before_id"), F.col("_after.at").alias("after_pos"), F.col("_after.id").alias("after_id"))
 

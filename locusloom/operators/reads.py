@@ -77,16 +77,14 @@ def alignment_stats(reads: DataFrame, annotations: DataFrame, min_mapq: int = 10
     """
     marked = reads.withColumn("reason", stat_reason(min_mapq, keep_duplicates))
     totals = marked.agg(F.count("*").alias("total"), F.count_if(F.col("reason") == "PASS").alias("kept"))
-    kept = marked.where("reason = 'PASS'")
-    twice = kept.where(has(PAIRED)).groupBy("qname").count().where("count = 2").select("qname")
-    alive = kept.where(has(PAIRED)).join(twice, "qname", "left_semi").unionByName(kept.where(~has(PAIRED)))
+    named = marked.where("reason = 'PASS'").withColumn("_n", F.count("*").over(Window.partitionBy("qname", has(PAIRED))))
+    alive = named.where(~has(PAIRED) | (F.col("_n") == 2))
     blocks = alive.select("qname", (has(SECOND)).alias("second"), F.col("chr").alias("bchr"), F.explode(columns.cigar_blocks(F.col("cigar"), F.col("pos"))).alias("b")).select("qname", "second", "bchr", F.col("b.start").alias("bstart"), F.col("b.end").alias("bend"))
     a = annotations.select(F.monotonically_increasing_id().alias("aid"), "chr", "start", "end") if "aid" not in annotations.columns else annotations.select("aid", "chr", "start", "end")
     hits = range_join(blocks, a, "bchr", F.col("bstart"), F.col("bend"), "chr", F.col("start"), F.col("end"), bin_size)
-    over = hits.select("qname", "second").distinct().agg(F.count("*").alias("overlap_reads"))
-    covered = hits.select("aid").distinct().agg(F.count("*").alias("covered_annot"))
+    found = hits.agg(F.count_distinct(F.struct("qname", "second")).alias("overlap_reads"), F.count_distinct("aid").alias("covered_annot"))
     n = annotations.agg(F.count("*").alias("n_annot"))
-    return totals.crossJoin(over).crossJoin(n).crossJoin(covered)  # one row each
+    return totals.crossJoin(n).crossJoin(found).select("total", "kept", "overlap_reads", "n_annot", "covered_annot")  # one row each
 
 
 def pileup(reads: DataFrame, sites: DataFrame, min_baseq: int = 10, min_mapq: int = 10, bin_size: int = 1000, **how) -> DataFrame:
@@ -165,31 +163,31 @@ def quantify(reads: DataFrame, exons: DataFrame, bin_size: int = 100_000, consis
     the mate has in the gene. Pairs need equal chromosomes, first mate forward, second reverse, not before the first.
     """
     marked = reads.withColumn("reason", quant_reason(**how))
-    ok = marked.where("reason = 'PASS'").withColumn("rev", has(REVERSE))
-    mates = ok.groupBy("qname").agg(F.count("*").alias("n"), F.count_if("rev").alias("n_rev"), F.count_distinct("chr").alias("n_chr"), F.min(F.when(~F.col("rev"), F.col("pos"))).alias("fwd"), F.min(F.when(F.col("rev"), F.col("pos"))).alias("bwd"))
-    good = mates.where("n = 2 and n_rev = 1 and n_chr = 1 and bwd >= fwd").select("qname")
-    pairs = ok.join(good, "qname", "left_semi")
-    blocks = pairs.select("qname", "rev", F.col("chr").alias("bchr"), F.posexplode(columns.cigar_blocks(F.col("cigar"), F.col("pos"))).alias("k", "b")).select("qname", "rev", "bchr", "k", F.col("b.start").alias("bs"), F.col("b.end").alias("be"))
+    name, fwd = Window.partitionBy("qname"), ~F.col("rev")
+    ok = marked.where("reason = 'PASS'").select("qname", has(REVERSE).alias("rev"), F.col("chr").alias("bchr"), "pos", "cigar")
+    ok = ok.withColumns({"_n": F.count("*").over(name), "_rev": F.count_if("rev").over(name), "_one": F.min("bchr").over(name) == F.max("bchr").over(name), "_fwd": F.min(F.when(fwd, F.col("pos"))).over(name), "_bwd": F.min(F.when(F.col("rev"), F.col("pos"))).over(name)})
+    pairs = ok.where("_n = 2 and _rev = 1 and _one and _bwd >= _fwd")
+    all_blocks = columns.cigar_blocks(F.col("cigar"), F.col("pos"))
+    pairs = pairs.withColumn("_b", all_blocks).withColumn("n_blocks", F.sum(F.size("_b")).over(name))
+    blocks = pairs.select("qname", "rev", "bchr", "n_blocks", F.posexplode("_b").alias("k", "b")).select("qname", "rev", "bchr", "n_blocks", "k", F.col("b.start").alias("bs"), F.col("b.end").alias("be"))
     e = exons.select("gene_id", "exon_id", F.col("chr").alias("echr"), F.col("start").alias("es"), F.col("end").alias("ee"))
     hit = range_join(blocks, e, "bchr", F.col("bs"), F.col("be"), "echr", F.col("es"), F.col("ee"), bin_size)
-    hit = hit.select("qname", "rev", "gene_id", "exon_id", "k", F.greatest("bs", "es").alias("lo"), F.least("be", "ee").alias("hi"))
-    other = hit.select("qname", "gene_id", "exon_id", (~F.col("rev")).alias("rev"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"))
-    both = hit.join(other, ["qname", "rev", "gene_id", "exon_id"], "left")
-    shared = F.when(F.col("olo").isNull(), 0).otherwise(F.greatest(F.least("hi", "ohi") - F.greatest("lo", "olo") + 1, F.lit(0)))
-    seg = both.groupBy("qname", "rev", "gene_id", "exon_id", "k", "lo", "hi").agg(F.coalesce(F.sum(shared), F.lit(0)).alias("both"))
-    per = seg.groupBy("qname", "rev", "gene_id", "exon_id").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("bases"), F.sum("both").alias("both"), F.collect_set("k").alias("ks"))
-    mate = Window.partitionBy("qname", "rev", "gene_id")
-    per = per.withColumn("all", F.sum("bases").over(mate)).withColumn("weight", (0.5 * F.col("both") + F.col("bases") - F.col("both")) / F.col("all"))
-    need = per.groupBy("qname", "gene_id").agg(F.count_distinct("rev").alias("m"), F.size(F.array_distinct(F.flatten(F.collect_set(F.transform("ks", lambda k: F.struct(F.col("rev"), k)))))).alias("hit_blocks")).where("m = 2")
+    seg = F.struct("rev", "exon_id", "k", F.greatest("bs", "es").alias("lo"), F.least("be", "ee").alias("hi"))
+    # a pair's segments in one gene: as many as its blocks meet exons
+    per = hit.groupBy("qname", "gene_id").agg(F.collect_list(seg).alias("segs"), F.first("n_blocks").alias("n_blocks"))
+    per = per.where(F.exists("segs", lambda s: s.rev) & F.exists("segs", lambda s: ~s.rev))
     if consistent:
-        n_blocks = blocks.groupBy("qname").agg(F.count("*").alias("n_blocks"))
-        need = need.join(n_blocks, "qname").where("hit_blocks = n_blocks")
-    per = per.join(need.select("qname", "gene_id"), ["qname", "gene_id"], "left_semi")
+        per = per.where(F.size(F.array_distinct(F.transform("segs", lambda s: F.struct(s.rev, s.k)))) == F.col("n_blocks"))
+    length = lambda s: s.hi - s.lo + 1
+    zero = F.lit(0).cast("long")
+    shared = lambda s: F.aggregate(F.filter("segs", lambda t: (t.rev != s.rev) & (t.exon_id == s.exon_id)), zero, lambda n, t: n + F.greatest(F.least(s.hi, t.hi) - F.greatest(s.lo, t.lo) + 1, zero))
+    whole = lambda s: F.aggregate(F.filter("segs", lambda t: t.rev == s.rev), zero, lambda n, t: n + length(t))
+    per = per.select("qname", "gene_id", F.explode(F.transform("segs", lambda s: F.struct(s.exon_id.alias("exon_id"), ((length(s) - 0.5 * shared(s)) / whole(s)).alias("weight")))).alias("w")).select("qname", "gene_id", "w.exon_id", "w.weight")
     exon_counts = per.groupBy("gene_id", "exon_id").agg(F.sum("weight").alias("read_count"))
     gene_counts = per.groupBy("gene_id").agg(F.sum("weight").alias("read_count"))
     names = marked.groupBy("reason").agg(F.count("*").alias("n")).select(F.col("reason").alias("stat"), F.col("n").cast("double").alias("value"))
     more = per.agg((2 * F.count_distinct("qname")).cast("double").alias("exonicint"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("exonic_multi")).selectExpr("stack(2, 'exonicint', exonicint, 'exonic_multi', exonic_multi) as (stat, value)")
-    lonely = mates.agg(F.coalesce(F.sum(F.when(F.col("n") != 2, F.col("n"))), F.lit(0)).cast("double").alias("value")).select(F.lit("unmatched").alias("stat"), "value")
+    lonely = ok.agg(F.count_if(F.col("_n") != 2).cast("double").alias("value")).select(F.lit("unmatched").alias("stat"), "value")
     return gene_counts, exon_counts, names.unionByName(more).unionByName(lonely)
 
 

@@ -192,10 +192,10 @@ def p3_rank_normal(spark, sf):
     return matrix.rank_normal(df).select("sample", "feature", F.round("value", 6).alias("value"))
 
 
-@query(f"WITH {CELLS} SELECT dim, sample, round(v - avg(v) OVER (PARTITION BY dim, label), 6) + 0.0 AS value FROM m WHERE dim < 16")
+@query(f"WITH {CELLS} SELECT dim, sample, round(v - avg(v) OVER (PARTITION BY dim, label), 6) + 0.0 AS value FROM m")
 def p5_p7_correct_factor(spark, sf):
     cov = [[f"L{r[0]}" for r in fx.table(spark, sf, "embeddings").orderBy("vec_id").select("label").collect()]]
-    rows = fx.cells(spark, sf).where("dim < 16").groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("sample", "v"))).alias("s")).select("dim", F.transform("s", lambda x: x.v).alias("vals"), F.transform("s", lambda x: x.sample).alias("ids"))
+    rows = fx.cells(spark, sf).groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("sample", "v"))).alias("s")).select("dim", F.transform("s", lambda x: x.v).alias("vals"), F.transform("s", lambda x: x.sample).alias("ids"))
     out = matrix.residualise(rows, cov).select("dim", F.explode(F.arrays_zip("ids", "vals")).alias("z"))
     return rounded(out.select("dim", F.col("z.ids").alias("sample"), F.col("z.vals").alias("value")), "value")
 
@@ -222,6 +222,12 @@ def a10_group_mean(spark, sf):
     return rounded(fx.p_long(spark, sf).groupBy(F.floor(F.col("pid") / 2).alias("grp"), "sample").agg(F.avg("pv").alias("value")), "value")
 
 
+@query(f"WITH {CELLS}, a AS (SELECT pid // 2 AS k, sample, avg(pv) AS v FROM p GROUP BY ALL) SELECT printf('g%02d', k) AS grp, printf('p%02d', 2 * k) AS pid, CAST(2 AS INT) AS n_phe, round(list(v ORDER BY sample)[1], 6) + 0.0 AS first, round(sum(v), 4) + 0.0 AS total FROM a GROUP BY k")
+def a10_collapse_mean(spark, sf):
+    out = matrix.collapse(fx.wide(spark, sf)[0], "mean")
+    return out.select("grp", "pid", "n_phe", (F.round(F.element_at("vals", 1), 6) + 0.0).alias("first"), (F.round(F.aggregate("vals", F.lit(0.0), lambda s, v: s + v), 4) + 0.0).alias("total"))
+
+
 @query()
 def a34_group_pc1(spark, sf):
     return matrix.collapse(fx.wide(spark, sf)[0], "pca1").select("grp", "n_phe", F.round("var_explained", 6).alias("var_explained"))
@@ -247,7 +253,7 @@ def f1_include_exclude(spark, sf):
     return matrix.keep_ids(matrix.keep_ids(o, "o_custkey", inc), "o_orderkey", None, exc).select("o_orderkey")
 
 
-@query()
+@query(f"WITH RECURSIVE {PARTS}, t AS (SELECT chr, min(start) AS pos FROM parts GROUP BY chr UNION ALL SELECT t.chr, (SELECT min(start) FROM parts p WHERE p.chr = t.chr AND p.start >= t.pos + 300) FROM t WHERE t.pos IS NOT NULL) SELECT chr, pos FROM t WHERE pos IS NOT NULL")
 def f12_thin(spark, sf):
     return matrix.thin(fx.parts(spark, sf).select("chr", F.col("start").alias("pos")), 300)
 
@@ -257,9 +263,10 @@ def f3_region(spark, sf):
     return fx.parts(spark, sf).where(columns.in_region(F.col("chr"), F.col("start"), F.col("end"), "Brand#11:100-900")).select("id")
 
 
-@query("SELECT e.event_id, try_cast(substr(e.props, 2, 3) AS DOUBLE) IS NOT NULL AS is_number FROM events e")
+@query(longs("SELECT event_id, len(t) AS tokens, len(list_filter(t, lambda x: try_cast(x AS DOUBLE) IS NOT NULL)) AS numbers FROM (SELECT event_id, regexp_split_to_array(props, '[^0-9A-Za-z.]+') AS t FROM events)", "tokens", "numbers"))
 def f20_numeric_token(spark, sf):
-    return fx.table(spark, sf, "events").select("event_id", columns.numeric(F.substr("props", F.lit(2), F.lit(3))).alias("is_number"))
+    t = fx.table(spark, sf, "events").select("event_id", F.posexplode(F.split("props", "[^0-9A-Za-z.]+")).alias("i", "token"))
+    return t.groupBy("event_id").agg(F.count("*").alias("tokens"), F.count_if(columns.numeric(F.col("token"))).alias("numbers"))
 
 
 @query(f"WITH {CELLS}, c AS (SELECT pid, vid, corr(pv, gv) AS r FROM p JOIN g USING (sample) GROUP BY ALL), o AS (SELECT pid, r FROM c WHERE vid = 20) SELECT pid, (count_if(abs(c.r) >= abs(o.r)) + 1) / (count(*) + 1) AS p FROM c JOIN o USING (pid) GROUP BY pid")
@@ -329,9 +336,9 @@ def a15_fdensity(spark, sf):
     return intervals.density(a, p.where("size > 42").select("chr", "start", "end"), 200, 25)
 
 
-@query("WITH k AS (SELECT l_suppkey AS key, l_partkey % 2000 AS pos FROM lineitem WHERE l_suppkey <= 20 GROUP BY ALL), g AS (SELECT *, pos - row_number() OVER (PARTITION BY key ORDER BY pos) AS i FROM k) SELECT key, min(pos) AS first, max(pos) AS last, count(*) AS n FROM g GROUP BY key, i")
+@query("WITH k AS (SELECT l_suppkey AS key, l_partkey % 2000 AS pos FROM lineitem GROUP BY ALL), g AS (SELECT *, pos - row_number() OVER (PARTITION BY key ORDER BY pos) AS i FROM k) SELECT key, min(pos) AS first, max(pos) AS last, count(*) AS n FROM g GROUP BY key, i")
 def w8_runs(spark, sf):
-    return intervals.runs(fx.table(spark, sf, "lineitem").where("l_suppkey <= 20").select(F.col("l_suppkey").alias("key"), (F.col("l_partkey") % 2000).alias("pos")), "key", "pos")
+    return intervals.runs(fx.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("key"), (F.col("l_partkey") % 2000).alias("pos")), "key", "pos")
 
 
 @query("SELECT p_size AS bin, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY p_size) AS BIGINT) AS upto FROM part GROUP BY p_size")
@@ -365,17 +372,24 @@ def genrich(spark, sf):
     return enrichment.matched_enrichment(bins, p.where("id % 3 = 0").select("id"), p.where("id % 50 = 0").count(), 200)
 
 
-HAP = f"{CELLS}, h AS (SELECT dim AS id, sample, v > 0 AS a FROM m WHERE dim BETWEEN 16 AND 23), f AS (SELECT x.id AS a, y.id AS b, avg(CAST(x.a AS INT)) AS pa, avg(CAST(y.a AS INT)) AS pb, avg(CAST(x.a AND y.a AS INT)) AS pab FROM h x JOIN h y USING (sample) WHERE x.id < y.id GROUP BY ALL), d AS (SELECT *, pab - pa * pb AS d FROM f)"
+HAP = f"{CELLS}, h AS (SELECT dim AS id, sample, v > 0 AS a FROM m WHERE dim >= 16), f AS (SELECT x.id AS a, y.id AS b, avg(CAST(x.a AS INT)) AS pa, avg(CAST(y.a AS INT)) AS pb, avg(CAST(x.a AND y.a AS INT)) AS pab FROM h x JOIN h y USING (sample) WHERE x.id < y.id GROUP BY ALL), d AS (SELECT *, pab - pa * pb AS d FROM f)"
 
 
 @query(f"WITH {HAP} SELECT a, b, round(abs(d) / CASE WHEN d < 0 THEN least(pa * pb, (1 - pa) * (1 - pb)) ELSE least(pa * (1 - pb), (1 - pa) * pb) END, 6) AS dprime, round(d * d / (pa * (1 - pa) * pb * (1 - pb)), 6) AS r2 FROM d")
 def a19_ld(spark, sf):
-    h = fx.cells(spark, sf).where("dim between 16 and 23").groupBy("dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", (F.col("v") > 0).alias("a")))), lambda x: x.a).alias("hap"))
+    h = fx.cells(spark, sf).where("dim >= 16").groupBy("dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", (F.col("v") > 0).alias("a")))), lambda x: x.a).alias("hap"))
     x, y = h.select(F.col("dim").alias("a"), F.col("hap").alias("ha")), h.select(F.col("dim").alias("b"), F.col("hap").alias("hb"))
     out = x.join(y, F.col("a") < F.col("b")).select("a", "b", enrichment.ld("ha", "hb").alias("s")).select("a", "b", "s.dprime", "s.r2")
     return rounded(out, "dprime", "r2")
 
 
+@query(f"WITH {HAP}, z AS (SELECT a, b FROM d WHERE d * d / (pa * (1 - pa) * pb * (1 - pb)) >= 0.002), sp AS (SELECT dim AS id, (dim % 16) * 1000 AS pos, dim % 2 AS chr FROM (SELECT DISTINCT dim FROM m WHERE dim >= 16)), l AS (SELECT a, b FROM z UNION ALL SELECT b, a FROM z UNION ALL SELECT id, id FROM sp) SELECT DISTINCT x.id FROM sp x JOIN l ON l.a = x.id JOIN sp y ON l.b = y.id WHERE y.id % 8 = 1 AND x.chr = y.chr AND abs(x.pos - y.pos) <= 4000")
+def j13_linked(spark, sf):
+    h = fx.cells(spark, sf).where("dim >= 16").groupBy(F.col("dim").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", (F.col("v") > 0).alias("a")))), lambda x: x.a).alias("hap"))
+    at = h.select("id", F.concat(F.lit("c"), F.col("id") % 2).alias("chr"), ((F.col("id") % 16) * 1000).alias("pos"))
+    return enrichment.linked(at, at.where("id % 8 = 1"), h, 0.002, 4000)
+
+
 # co-localisation
 
 TILES = f"{PARTS}, h AS (SELECT chr, start AS s0, end_ AS e FROM parts WHERE size < 3), k AS (SELECT *, lag(e) OVER (PARTITION BY chr ORDER BY s0) AS b FROM h), r AS (SELECT chr, coalesce(b + 1, 0) AS start, s0 AS end_ FROM k UNION ALL SELECT chr, s0 + 1, e FROM k UNION ALL SELECT chr, max(e) + 1, 2147483647 FROM h GROUP BY chr), t AS (SELECT row_number() OVER (ORDER BY chr, start, end_) - 1 AS idx, * FROM r)"
@@ -419,12 +433,12 @@ def rtc(spark, sf):
     return coloc.rtc(pairs, p, g, g.select("vid", F.when(F.col("vchr") == "c0", 0).otherwise(1).cast("long").alias("region")), simulate=10)
 
 
-HITS = "h AS (SELECT l_suppkey % 3 AS dataset, l_partkey % 25 AS region, l_suppkey % 10 AS pid, l_orderkey * 10 + l_linenumber AS vid, l_linenumber AS rank FROM lineitem WHERE l_quantity = 50)"
+HITS = "h AS (SELECT l_suppkey % 3 AS dataset, l_partkey % 25 AS region, l_suppkey % 10 AS pid, l_orderkey * 10 + l_linenumber AS vid, l_linenumber AS rank FROM lineitem)"
 
 
 @query(f"WITH {HITS}, s AS (SELECT dataset, region, pid, count(*) AS n FROM h GROUP BY ALL), k AS (SELECT region, pid, max(n) AS most FROM s GROUP BY ALL), f AS (SELECT d.d AS dataset, k.*, coalesce(n, 0) AS n FROM k CROSS JOIN (SELECT unnest([0, 1, 2]) AS d) d LEFT JOIN s ON s.dataset = d.d AND s.region = k.region AND s.pid = k.pid) SELECT CAST(dataset AS BIGINT) AS dataset, region, pid, CAST(most AS BIGINT) AS rows_, CAST(most - CASE WHEN n = 0 AND pid <> 0 THEN 1 ELSE n END AS BIGINT) AS fillers FROM f")
 def j21_w6_union_fill(spark, sf):
-    h = fx.table(spark, sf, "lineitem").where("l_quantity = 50").select((F.col("l_suppkey") % 3).alias("dataset"), (F.col("l_partkey") % 25).alias("region"), (F.col("l_suppkey") % 10).alias("pid"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("vid"), F.col("l_linenumber").alias("rank"))
+    h = fx.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 3).alias("dataset"), (F.col("l_partkey") % 25).alias("region"), (F.col("l_suppkey") % 10).alias("pid"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("vid"), F.col("l_linenumber").alias("rank"))
     d = spark.range(3).withColumnRenamed("id", "dataset")
     ph = d.crossJoin(spark.range(1, 10).withColumnRenamed("id", "pid"))
     best = ph.crossJoin(spark.range(25).withColumnRenamed("id", "region")).select("dataset", "region", "pid", F.lit("best").alias("vid"), F.lit(0.5).alias("pval"))
@@ -492,19 +506,71 @@ def a31_mbv(spark, sf):
     return reads.match_samples(c, g).select("sample", "n_missing", "n_het", "n_hom", "n_het_covered", "n_hom_covered", "n_het_consistent", "n_hom_consistent")
 
 
-@query("WITH x AS (SELECT p_brand AS gene, sum(p_size) AS length FROM part GROUP BY ALL), c AS (SELECT p_brand AS gene, sum(l_quantity) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_discount > 0.09 GROUP BY ALL), t AS (SELECT gene, CAST(length AS BIGINT) AS length, coalesce(n, 0) AS n, coalesce(n, 0) * 1000 / length AS rpk FROM x LEFT JOIN c USING (gene)) SELECT gene, round(rpk * 1e6 / sum(n) OVER (), 4) AS rpkm, round(rpk * 1e6 / sum(rpk) OVER (), 4) AS tpm FROM t")
+@query("WITH x AS (SELECT p_brand AS gene, sum(p_size) AS length FROM part GROUP BY ALL), c AS (SELECT p_brand AS gene, sum(l_quantity) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), t AS (SELECT gene, CAST(length AS BIGINT) AS length, coalesce(n, 0) AS n, coalesce(n, 0) * 1000 / length AS rpk FROM x LEFT JOIN c USING (gene)) SELECT gene, round(rpk * 1e6 / sum(n) OVER (), 4) AS rpkm, round(rpk * 1e6 / sum(rpk) OVER (), 4) AS tpm FROM t")
 def p17_p18_rates(spark, sf):
     part = fx.table(spark, sf, "part")
     lengths = part.groupBy(F.col("p_brand").alias("gene")).agg(F.sum("p_size").alias("length"))
-    c = fx.table(spark, sf, "lineitem").where("l_discount > 0.09").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("gene")).agg(F.sum("l_quantity").alias("read_count"))
+    c = fx.table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("gene")).agg(F.sum("l_quantity").alias("read_count"))
     return reads.rates(c, lengths, "gene").select("gene", F.round("rpkm", 4).alias("rpkm"), F.round("tpm", 4).alias("tpm"))
 
 
-@query()
-def quan(spark, sf):
+QUAN = f"""{READS}, k AS (SELECT *, flag & 16 <> 0 AS rev FROM reads WHERE flag & 256 = 0 AND flag & 4 = 0 AND flag & 8 = 0 AND flag & 512 = 0 AND flag & 1024 = 0 AND mapq >= 10),
+ m AS (SELECT qname FROM k GROUP BY qname HAVING count(*) = 2 AND count_if(rev) = 1 AND count(DISTINCT chr) = 1 AND min(pos) FILTER (rev) >= min(pos) FILTER (NOT rev)),
+ x AS (SELECT k.* FROM k JOIN m USING (qname)),
+ bl AS (SELECT qname, rev, chr, 0 AS k, pos AS bs, pos + CASE nm % 3 WHEN 0 THEN 4 WHEN 1 THEN 9 ELSE 3 END AS be FROM x UNION ALL SELECT qname, rev, chr, 1, pos + CASE nm % 3 WHEN 0 THEN 7 ELSE 5 END, pos + CASE nm % 3 WHEN 0 THEN 11 ELSE 10 END FROM x WHERE nm % 3 <> 1),
+ p AS (SELECT p_type || '@c' || CAST(p_partkey % 3 AS VARCHAR) AS gene_id, 'c' || CAST(p_partkey % 3 AS VARCHAR) AS chr, p_partkey AS s, p_partkey + p_size AS e FROM part),
+ i AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY gene_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) OR row_number() OVER (PARTITION BY gene_id ORDER BY s, e) = 1 THEN 1 ELSE 0 END AS new FROM p),
+ ex AS (SELECT gene_id, min(chr) AS chr, min(s) AS es, max(e) AS ee FROM (SELECT *, sum(new) OVER (PARTITION BY gene_id ORDER BY s, e) AS isle FROM i) GROUP BY gene_id, isle),
+ h AS (SELECT qname, rev, gene_id, es, k, greatest(bs, es) AS lo, least(be, ee) AS hi FROM bl JOIN ex ON bl.chr = ex.chr AND es <= be AND bs <= ee),
+ o AS (SELECT a.qname, a.rev, a.gene_id, a.es, a.k, a.lo, a.hi, coalesce(sum(greatest(least(a.hi, b.hi) - greatest(a.lo, b.lo) + 1, 0)) FILTER (b.qname IS NOT NULL), 0) AS common FROM h a LEFT JOIN h b ON a.qname = b.qname AND a.gene_id = b.gene_id AND a.es = b.es AND a.rev <> b.rev GROUP BY ALL),
+ t AS (SELECT *, (hi - lo + 1 - 0.5 * common) / sum(hi - lo + 1) OVER (PARTITION BY qname, rev, gene_id) AS weight, count(*) FILTER (rev) OVER (PARTITION BY qname, gene_id) AS n1, count(*) FILTER (NOT rev) OVER (PARTITION BY qname, gene_id) AS n2 FROM o),
+ q AS (SELECT * FROM t WHERE n1 > 0 AND n2 > 0)"""
+
+
+def _quan(spark, sf):
     e = fx.table(spark, sf, "part").select(F.col("p_type").alias("gene_id"), F.concat(F.lit("c"), F.col("p_partkey") % 3).alias("chr"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"), F.lit("+").alias("strand"))
     e = e.withColumn("gene_id", F.concat_ws("@", "gene_id", "chr"))
-    return reads.quantify(fx.reads(spark, sf), reads.genes_of(e)[1], bin_size=200)[0]
+    return reads.quantify(fx.reads(spark, sf), reads.genes_of(e)[1], bin_size=50)
+
+
+@query(f"WITH {QUAN} SELECT gene_id, round(sum(weight), 4) AS read_count FROM q GROUP BY gene_id")
+def quan(spark, sf):
+    return _quan(spark, sf)[0].select("gene_id", F.round("read_count", 4).alias("read_count"))
+
+
+@query(f"WITH {QUAN} SELECT gene_id, es AS start, round(sum(weight), 4) AS read_count FROM q GROUP BY ALL")
+def a25_j23_j24_exon_counts(spark, sf):
+    return _quan(spark, sf)[1].select("gene_id", F.element_at(F.split("exon_id", "_"), -2).cast("long").alias("start"), F.round("read_count", 4).alias("read_count"))
+
+
+@query(f"WITH {QUAN} SELECT 'exonicint' AS stat, round(2.0 * count(DISTINCT qname), 4) AS value FROM q UNION ALL SELECT 'exonic_multi', round(sum(weight), 4) FROM q UNION ALL SELECT 'unmatched', CAST(sum(n) AS DOUBLE) FROM (SELECT count(*) AS n FROM k GROUP BY qname HAVING count(*) <> 2) UNION ALL SELECT CASE WHEN flag & 256 <> 0 THEN 'SECD' WHEN flag & 4 <> 0 OR flag & 8 <> 0 THEN 'UNMAP' WHEN flag & 512 <> 0 THEN 'FAILQC' WHEN flag & 1024 <> 0 THEN 'DUP' WHEN mapq < 10 THEN 'MAPQ' ELSE 'PASS' END, CAST(count(*) AS DOUBLE) FROM reads GROUP BY ALL")
+def a26_read_statistics(spark, sf):
+    return _quan(spark, sf)[2].select("stat", F.round("value", 4).alias("value"))
+
+
+@query(f"WITH {QUAN}, g AS (SELECT gene_id, min(es) AS start, max(ee) AS end_, sum(ee - es + 1) AS length, count(*) AS n FROM ex GROUP BY gene_id) SELECT gene_id, start, end_, CAST(length AS BIGINT) AS length, n FROM g")
+def a11_genes_of_exons(spark, sf):
+    e = fx.table(spark, sf, "part").select(F.concat(F.col("p_type"), F.lit("@c"), F.col("p_partkey") % 3).alias("gene_id"), F.concat(F.lit("c"), F.col("p_partkey") % 3).alias("chr"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"), F.lit("+").alias("strand"))
+    genes, exons = reads.genes_of(e)
+    n = exons.groupBy("gene_id").agg(F.count("*").alias("n"))
+    return genes.join(n, "gene_id").select("gene_id", "start", F.col("end").alias("end_"), "length", "n")
+
+
+PILED = f"""{READS}, k AS (SELECT * FROM reads WHERE flag & 4 = 0 AND flag & 256 = 0 AND flag & 512 = 0 AND flag & 1024 = 0 AND flag & 8 = 0 AND (flag & 16 <> 0) <> (flag & 32 <> 0) AND flag & 2 <> 0 AND mapq >= 10),
+ pl AS (SELECT *, unnest(range(0, CASE nm % 3 WHEN 0 THEN 12 WHEN 1 THEN 10 ELSE 11 END)) AS d FROM k),
+ c AS (SELECT chr, pos + d AS p, CASE nm % 3 WHEN 0 THEN CASE WHEN d < 5 THEN d + 1 WHEN d > 6 THEN d - 1 END WHEN 1 THEN d + 3 ELSE CASE WHEN d < 4 THEN d + 1 WHEN d > 4 THEN d END END AS q FROM pl),
+ s AS (SELECT p_partkey AS site, 'c' || CAST(p_partkey % 3 AS VARCHAR) AS chr, p_partkey AS p, substr('ACGT', CAST(p_partkey % 4 AS INT) + 1, 1) AS ref, substr('CGTA', CAST(p_partkey % 4 AS INT) + 1, 1) AS alt FROM part),
+ b AS (SELECT site, ref, alt, substr('ACGTACGTACGT', q, 1) AS base, CASE WHEN q IS NOT NULL THEN 5 + q * 3 END AS baseq FROM c JOIN s USING (chr, p)), f AS (SELECT * FROM b WHERE baseq IS NULL OR baseq >= 10)"""
+
+
+@query(longs(f"WITH {PILED} SELECT site, count_if(base = ref) AS ref_count, count_if(base = alt) AS alt_count, count_if(base <> ref AND base <> alt) AS other_count, count(*) AS depth, coalesce(array_to_string(list_sort(list(DISTINCT base) FILTER (base IS NOT NULL)), ','), '') AS alleles_seen, round(coalesce(sum(pow(10, -baseq / 10)) FILTER (base IS NOT NULL), 0), 6) AS expected_errors FROM f GROUP BY site", "ref_count", "alt_count", "other_count"))
+def j26_pileup(spark, sf):
+    quals = "".join(chr(33 + 5 + 3 * q) for q in range(1, 13))
+    r = fx.reads(spark, sf).withColumn("seq", F.lit("ACGTACGTACGT")).withColumn("qual", F.lit(quals))
+    k = F.col("p_partkey")
+    pick = lambda text: F.substr(F.lit(text), (k % 4 + 1).cast("int"), F.lit(1))
+    s = fx.table(spark, sf, "part").select(k.alias("site"), F.concat(F.lit("c"), k % 3).alias("schr"), k.alias("spos"), pick("ACGT").alias("ref"), pick("CGTA").alias("alt"))
+    return rounded(reads.allele_counts(reads.pileup(r, s, bin_size=50), ["site"]), "expected_errors")
 
 
 @query("WITH p AS (SELECT o_custkey AS qname, count(*) AS n, count(DISTINCT o_orderstatus) AS m FROM orders GROUP BY ALL) SELECT a.o_custkey AS qname, a.o_orderkey AS one, b.o_orderkey AS two FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey JOIN p ON p.qname = a.o_custkey WHERE p.n = 2")
@@ -516,20 +582,32 @@ def j22_mate_pairs(spark, sf):
 
 # allele-specific expression
 
-SITES = "v AS (SELECT 'c' || CAST(p_partkey % 5 AS VARCHAR) AS chr, p_partkey // 2 AS pos, printf('%05d', p_partkey) AS id, substr('ACGTN', CAST(p_partkey % 5 AS INT) + 1, 1) AS ref, substr('CATGA', CAST(p_partkey % 5 AS INT) + 1, CASE WHEN p_size = 50 THEN 2 ELSE 1 END) AS a1, p_size % 13 = 0 AS multi, CASE p_size % 4 WHEN 0 THEN '0/0' WHEN 1 THEN './.' ELSE '0|1' END AS gt, p_size / 50.0 AS imp FROM part)"
+SITES = """v AS (SELECT 'c' || CAST(p_partkey % 5 AS VARCHAR) AS chr, p_partkey // 20 AS pos, printf('%05d', p_partkey) AS id, substr('ACGTN', CAST(p_partkey % 5 AS INT) + 1, 1) AS ref, p_size,
+ substr('CATGA', CAST(p_partkey % 5 AS INT) + 1, CASE WHEN p_size = 50 THEN 2 ELSE 1 END) AS a1, p_size % 13 = 0 AS multi, CASE WHEN p_size % 23 = 0 THEN NULL WHEN p_size % 4 = 0 THEN '0/0' WHEN p_size % 4 = 1 THEN './1' ELSE '0|1' END AS gt,
+ CASE WHEN p_size <> 11 THEN p_size / 50.0 END AS imp, CASE WHEN p_size % 17 = 0 THEN 0.2 ELSE 1.0 END AS gp FROM part),
+ w AS (SELECT *, CASE p_size % 7 WHEN 0 THEN NULL WHEN 1 THEN 'X' WHEN 2 THEN substr(a1, 1, 1) WHEN 3 THEN translate(ref, 'ACGT', 'TGCA') ELSE ref END AS genome FROM v)"""
 
 
 def _sites(spark, sf):
     k, s = F.col("p_partkey"), F.col("p_size")
     pick = lambda text, n: F.substr(F.lit(text), (k % 5 + 1).cast("int"), n)
-    first = pick("CATGA", F.when(s == 50, 2).otherwise(1))
-    return fx.table(spark, sf, "part").select(F.concat(F.lit("c"), k % 5).alias("chr"), F.floor(k / 2).alias("pos"), F.format_string("%05d", k).alias("id"), pick("ACGTN", F.lit(1)).alias("ref"), F.when(s % 13 == 0, F.array(first, F.lit("T"))).otherwise(F.array(first)).alias("alts"), F.when(s % 4 == 0, "0/0").when(s % 4 == 1, "./.").otherwise("0|1").alias("gt"), (s / 50).alias("imp_qual"), F.lit(1.0).alias("gp"))
-
-
-@query(f"WITH {SITES}, r AS (SELECT *, CASE WHEN multi THEN 'VMA' WHEN length(a1) > 1 THEN 'VI' WHEN ref = 'N' THEN 'VMRA' WHEN EXISTS (SELECT 1 FROM part b WHERE b.p_size > 48 AND 'c' || CAST(b.p_partkey % 5 AS VARCHAR) = v.chr AND b.p_partkey // 2 <= v.pos AND v.pos <= b.p_partkey // 2 + 3) THEN 'VB' WHEN imp < 0.1 THEN 'VBI' WHEN gt = './.' THEN 'VMG' WHEN gt = '0/0' THEN 'VH' ELSE 'PASS' END AS reason FROM v), d AS (SELECT *, row_number() OVER (PARTITION BY chr, pos, reason ORDER BY id) AS k FROM r) SELECT CASE WHEN reason = 'PASS' AND k > 1 THEN 'VD' ELSE reason END AS reason, count(*) AS n FROM d GROUP BY ALL")
+    first, ref = pick("CATGA", F.when(s == 50, 2).otherwise(1)), pick("ACGTN", F.lit(1))
+    genome = F.when(s % 7 == 0, None).when(s % 7 == 1, "X").when(s % 7 == 2, F.substring(first, 1, 1)).when(s % 7 == 3, F.translate(ref, "ACGT", "TGCA")).otherwise(ref)
+    gt = F.when(s % 23 == 0, None).when(s % 4 == 0, "0/0").when(s % 4 == 1, "./1").otherwise("0|1")
+    return fx.table(spark, sf, "part").select(F.concat(F.lit("c"), k % 5).alias("chr"), F.floor(k / 20).alias("pos"), F.format_string("%05d", k).alias("id"), ref.alias("ref"), F.when(s % 13 == 0, F.array(first, F.lit("T"))).otherwise(F.array(first)).alias("alts"), gt.alias("gt"), F.when(s != 11, s / 50).alias("imp_qual"), F.when(s % 17 == 0, 0.2).otherwise(1.0).alias("gp"), genome.alias("genome"))
+
+
+@query(longs(f"""WITH {SITES}, r AS (SELECT *, CASE WHEN multi THEN 'VMA' WHEN p_size = 5 THEN 'VU' WHEN chr = 'c3' THEN 'VCNIB'
+ WHEN EXISTS (SELECT 1 FROM part b WHERE b.p_size > 48 AND 'c' || CAST(b.p_partkey % 5 AS VARCHAR) = w.chr AND b.p_partkey // 20 <= w.pos AND w.pos <= b.p_partkey // 20 + 1) THEN 'VB'
+ WHEN length(a1) > 1 THEN 'VI' WHEN ref = 'N' THEN 'VMRA' WHEN genome IS NULL THEN 'VNIF' WHEN genome NOT IN (ref, a1, translate(ref, 'ACGT', 'TGCA')) THEN 'VWR' WHEN imp < 0.1 THEN 'VBI'
+ WHEN gt IS NULL THEN 'VMGT' WHEN gt = './1' THEN 'VMG' WHEN gt = '0/0' THEN 'VH' WHEN gp < 0.5 THEN 'VBG' ELSE 'PASS' END AS reason FROM w),
+ d AS (SELECT *, row_number() OVER (PARTITION BY chr, pos, reason ORDER BY id) AS k, count(*) FILTER (reason NOT IN ('VMA', 'VU')) OVER (PARTITION BY chr, pos) > 1 AS twice FROM r)
+ SELECT CASE WHEN reason = 'PASS' AND k > 1 THEN 'VD' ELSE reason END AS reason, count(*) AS n, count_if(reason = 'PASS' AND k = 1 AND genome <> ref AND genome = a1) AS swapped, count_if(reason = 'PASS' AND k = 1 AND genome <> ref AND genome <> a1) AS flipped, count_if(reason = 'PASS' AND k = 1 AND twice) AS doubled FROM d GROUP BY ALL""", "swapped", "flipped", "doubled"))
 def f6_f16_f18_site_waterfall(spark, sf):
-    b = fx.table(spark, sf, "part").where("p_size > 48").select(F.concat(F.lit("c"), F.col("p_partkey") % 5).alias("chr"), F.floor(F.col("p_partkey") / 2).alias("start"), (F.floor(F.col("p_partkey") / 2) + 3).alias("end"))
-    return ase.sites(_sites(spark, sf), b, 50, min_imp=0.1).groupBy("reason").agg(F.count("*").alias("n"))
+    part = fx.table(spark, sf, "part")
+    b = part.where("p_size > 48").select(F.concat(F.lit("c"), F.col("p_partkey") % 5).alias("chr"), F.floor(F.col("p_partkey") / 20).alias("start"), (F.floor(F.col("p_partkey") / 20) + 1).alias("end"))
+    found = ase.sites(_sites(spark, sf), b, 50, spark.createDataFrame([("c0",), ("c1",), ("c2",), ("c4",)], "chr string"), part.where("p_size = 5").select(F.format_string("%05d", "p_partkey").alias("id")), genome=True, auto_flip=True, min_imp=0.1, min_gp=0.5)
+    return found.groupBy("reason").agg(F.count("*").alias("n"), F.count_if(F.array_contains("notes", "VS")).alias("swapped"), F.count_if(F.array_contains("notes", "VF")).alias("flipped"), F.count_if(F.array_contains("notes", "VDK")).alias("doubled"))
 
 
 @query(longs(f"WITH {PILE}, c AS (SELECT site, count_if(base = 'A') AS r, count_if(base = 'R') AS a FROM b GROUP BY site) SELECT site, r + a AS total, round(r / (r + a), 6) AS ref_ratio, round(CASE WHEN 2 * r = r + a THEN 1.0 ELSE least(1.0, (SELECT sum(exp(lgamma(r + a + 1.0) - lgamma(k + 1.0) - lgamma(r + a - k + 1.0) + (r + a) * ln(0.5))) FROM range(0, CAST(r + a + 1 AS BIGINT)) AS t(k) WHERE abs(2 * k - (r + a)) >= abs(2 * r - (r + a)))) END, 6) AS pval FROM c WHERE r + a >= 16", "total"))

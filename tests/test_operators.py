@@ -215,3 +215,45 @@ def test_targeted_covariates_best_in_region_and_vcf_writer(spark, tmp_path):
     text.write_vcf(g.selectExpr("vid", "vchr", "vstart", "'A' as ref", "array('G') as alts", "gvals"), str(tmp_path / "out"), names)
     back = {r["vid"]: r["gvals"] for r in text.vcf(spark, str(tmp_path / "out")).collect()}
     assert back == {f"v{i}": v.tolist() for i, v in enumerate(x)}
+
+
+def test_semi_and_anti_joins_keep_repeated_rows_and_nulls(spark):
+    left = spark.createDataFrame([(1, "c", 5, None), (1, "c", 5, None), (2, "c", 50, "x"), (3, "c", None, "x"), (4, None, 5, None), (5, "d", 5, None)], "id int, chr string, pos long, note string")
+    right = spark.createDataFrame([("c", 1, 9), ("c", 4, 60_000), (None, 1, 9)], "rc string, s long, e long")
+    join = lambda how: sorted(x["id"] for x in intervals.range_join(left, right.where("e < 10"), "chr", F.col("pos"), F.col("pos"), "rc", F.col("s"), F.col("e"), 4, how).collect())
+    assert join("left_semi") == [1, 1] and join("left_anti") == [2, 3, 4, 5]
+    both = intervals.range_join(left, right, "chr", F.col("pos"), F.col("pos"), "rc", F.col("s"), F.col("e"), 1000, "left_semi")
+    assert both.columns == left.columns and both.count() == 3
+
+
+def test_odds_ratios_divide_like_doubles(spark):
+    null = spark.createDataFrame([(float(x),) for x in (0, 0, 10, 10)], "n double")
+    got = enrichment.empirical(null, F.lit(5.0), F.lit(10.0)).first()
+    assert got["or_q025"] == float("inf") and got["or_q975"] == 0.0
+    got = enrichment.empirical(null, F.lit(0.0), F.lit(10.0)).first()
+    assert np.isnan(got["or_q025"]) and got["or_q975"] == 0.0
+
+
+def test_nearest_anchor_is_that_of_brute_force(spark):
+    r = random.Random(9)
+    points = [(i, f"c{r.randrange(2)}", r.randrange(200)) for i in range(150)]
+    anchors = [(100 + i, f"c{r.randrange(3)}", r.randrange(200)) for i in range(12)]
+    got = intervals.nearest(spark.createDataFrame(points, "id int, chr string, pos long"), spark.createDataFrame(anchors, "anchor_id int, chr string, pos long")).collect()
+    assert len(got) == 150
+    for x in got:
+        own = [p for _, c, p in anchors if c == x["chr"]]
+        assert x["before_pos"] == max((p for p in own if p <= x["pos"]), default=None)
+        assert x["after_pos"] == min((p for p in own if p > x["pos"]), default=None)
+
+
+def test_site_reasons_come_in_their_order(spark):
+    rows = [("c1", i, None if i == 1 else f"v{i}", *x) for i, x in enumerate([
+        ("A", ["C", "G"], "0|1", None, None, "A"), ("A", ["C"], "0|1", None, None, "A"), ("AT", ["C"], "0|1", None, None, "A"), ("N", ["C"], "0|1", None, None, "A"), ("A", ["C"], "0|1", None, None, None),
+        ("A", ["C"], "0|1", None, None, "G"), ("A", ["C"], "0|1", None, None, "C"), ("A", ["C"], "0|1", None, None, "T"), ("A", ["C"], "0|1", 0.1, None, "A"), ("A", ["C"], None, 0.9, None, "A"),
+        ("A", ["C"], "./1", 0.9, None, "A"), ("A", ["C"], "1/1", 0.9, 0.1, "A"), ("A", ["C"], "0|1", 0.9, 0.1, "A"), ("A", ["C"], "0|1", 0.9, 0.9, "A")])]
+    v = spark.createDataFrame(rows, "chr string, pos int, id string, ref string, alts array<string>, gt string, imp_qual double, gp double, genome string")
+    got = {x["pos"]: x for x in ase.sites(v, genome=True, auto_flip=True, min_imp=0.5, min_gp=0.5).collect()}
+    assert [got[i]["reason"] for i in range(14)] == ["VMA", "PASS", "VI", "VMRA", "VNIF", "VWR", "PASS", "PASS", "VBI", "VMGT", "VMG", "VH", "VBG", "PASS"]
+    assert got[1]["id"] == "c1_1_AC" and got[1]["notes"] == ["VMI"]
+    assert (got[6]["ref"], got[6]["alts"], got[6]["notes"]) == ("C", ["A"], ["VS"]) and (got[7]["ref"], got[7]["alts"], got[7]["notes"]) == ("T", ["G"], ["VF"])
+    assert ase.sites(v, genome=True).where("reason = 'VWR'").count() == 3 and ase.sites(v).where("reason = 'VWR'").count() == 0
