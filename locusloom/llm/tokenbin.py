@@ -84,8 +84,10 @@ PLAIN = re.compile(r"[ -~À-ÖØ-öø-ÿ]*").fullmatch
 
 def parts_at_pattern(tokenizer) -> bool:
     """Whether the ids of a plain token are those of its pre-tokens in turn: the pattern is the known one, the tokenizer
-    lower-cases, added tokens are not plain words, and probes agree."""
+    lower-cases, its model marks the end of a pre-token, added tokens are not plain words, and probes agree."""
     got = json.loads(tokenizer.to_str())
+    if got["model"].get("end_of_word_suffix") != "</w>":
+        return False
     cut = (got.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
     if cut != PATTERN or "Lowercase" not in [x["type"] for x in got["normalizer"]["normalizers"]] or any(not x["content"].startswith("<|") for x in got["added_tokens"]):
         return False
@@ -105,10 +107,15 @@ class _Numbers(dict):
 
     def __missing__(self, token: str) -> int:
         self.new.append(token)
-        self.taken += len(token) + 200  # the entry and its ids
         self[token] = n = len(self)
         return n
 
+    def fresh(self) -> list[str]:
+        """The tokens numbered since the last call."""
+        new, self.new = self.new, []
+        self.taken += sum(map(len, new)) + 150 * len(new)  # bytes, with the entries and ids
+        return new
+
 
 class _Ids:
     """Runs of ids by number."""
@@ -147,13 +154,16 @@ class Encoder:
     bytes at most): pre-tokens of plain words where :func:`parts_at_pattern` holds, white-space tokens where
     :func:`parts_at_space` does; for any other tokenizer the library gets each text whole."""
 
-    def __init__(self, path: str, most: int = 64 << 20):
+    def __init__(self, path: str, most: int = 96 << 20):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.by_token = parts_at_space(self.tokenizer)
         self.by_part = self.by_token and parts_at_pattern(self.tokenizer)
+        if self.by_part:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -172,17 +182,13 @@ class Encoder:
         return np.concatenate(ids) if ids else np.empty(0, np.uint32), sizes
 
     def _pre_tokens(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As :meth:`_library`, of pre-tokens: many in one text, where the library tells which id is of which."""
-        ids, sizes = [], []
-        for a in range(0, len(parts), 2048):
-            own = parts[a : a + 2048]
-            got = self.tokenizer.encode(" ".join(own), add_special_tokens=False)
-            of = got.word_ids
-            ids.append(np.array(got.ids, np.uint32))
-            sizes.append(np.bincount(np.array(of, np.int64), minlength=len(own)))
-            if of and of[-1] != len(own) - 1:
-                raise ValueError("a pre-token came apart")
-        return np.concatenate(ids), np.concatenate(sizes)
+        """As :meth:`_library`, of pre-tokens: many in one text; the vocabulary marks the ids that end one."""
+        texts = [" ".join(parts[a : a + 2048]) for a in range(0, len(parts), 2048)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        last = np.flatnonzero(self.ends[ids])
+        if last.size != len(parts) or last[-1] != ids.size - 1:
+            raise ValueError("a pre-token came apart")
+        return ids, np.diff(last, prepend=-1)
 
     def _tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As :meth:`_library`, of white-space tokens; plain ones are cut into pre-tokens, each of which the library is asked for once."""
@@ -194,8 +200,7 @@ class Encoder:
             return self._library(tokens)
         which = np.fromiter(map(self.part.__getitem__, PLAIN_PARTS(" ".join([t for t, p in zip(tokens, plain.tolist(), strict=True) if p]).lower())), np.int64)
         if self.part.new:
-            new, self.part.new = self.part.new, []
-            self.part_ids.add(*self._pre_tokens(new))
+            self.part_ids.add(*self._pre_tokens(self.part.fresh()))
         got, size = self.part_ids.gather(which)
         if plain.all():
             return got, np.bincount(np.cumsum(which == 0), size, minlength=len(tokens)).astype(np.int64)
@@ -218,8 +223,7 @@ class Encoder:
             n = np.fromiter(map(len, tokens), np.int64, len(tokens))
             which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(tokens)), np.int64, int(n.sum()))
             if self.number.new:
-                new, self.number.new = self.number.new, []
-                self.ids.add(*self._tokens(new))
+                self.ids.add(*self._tokens(self.number.fresh()))
             got, size = self.ids.gather(which)
             total, at = np.concatenate(([0], np.cumsum(size))), np.concatenate(([0], np.cumsum(n)))
             own = total[at[1:]] - total[at[:-1]] + 1
