@@ -544,6 +544,32 @@ def test_links_are_called_those_of_pivots(spark):
     assert all(1 <= x["n_pivot_links"] <= 5 for x in got.collect())
 
 
+def test_pairs_are_compared_once_and_not_within_a_component(spark, monkeypatch):
+    """Near copies meet several pivots and unlike texts around a passage several words; neither is compared anew for each."""
+    r = random.Random(17)
+    hot, shared = prose(77, 120), prose(78, 60)
+    texts = []
+    for j in range(120):
+        w = hot[:]
+        for k in r.sample(range(120), 6):
+            w[k] = f"v{j}x{k}"
+        texts.append(" ".join(w))
+    texts += [" ".join(prose(3000 + j, 60) + shared) for j in range(100)]
+    asked, possible = [], neardup.possible
+
+    def counted(pairs, nodes):
+        asked.append([(x["a"], x["b"]) for x in pairs.collect()])
+        return possible(pairs, nodes)
+
+    monkeypatch.setattr(neardup, "possible", counted)
+    monkeypatch.setattr(neardup, "OUTSIDE", 8)
+    got = {x["doc_id"]: x["class_id"] for x in neardup.group(docs_of(spark, texts)).collect()}
+    assert got == {i: 0 if i < 120 else i for i in range(220)}
+    pairs = [p for some in asked for p in some]
+    assert len(pairs) == len(set(pairs)) and any(a >= 120 for a, _ in pairs)
+    assert sum(b < 120 for _, b in pairs) <= 1.5 * 120
+
+
 def test_near_duplicates_edges(spark, odd):
     assert neardup.group(empty(spark)).count() == 0 and neardup.keep_one(empty(spark)).count() == 0
     got = {r["doc_id"]: r["class_id"] for r in neardup.group(odd).collect()}
