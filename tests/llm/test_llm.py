@@ -570,6 +570,41 @@ def test_pairs_are_compared_once_and_not_within_a_component(spark, monkeypatch):
     assert sum(b < 120 for _, b in pairs) <= 1.5 * 120
 
 
+def test_slices_bound_what_is_shuffled_and_lose_no_pair(spark, monkeypatch):
+    """Members of large groups go through in slices; the same pairs are compared as at once, none of them twice."""
+    r = random.Random(23)
+    shared = prose(91, 30)
+    texts = [" ".join(prose(5000 + j, 30) + shared) for j in range(24)]
+    rows = spark.createDataFrame([(0, i, i, 60, t) for i, t in enumerate(texts)], "key long, node long, root long, size int, text string")
+    none = spark.createDataFrame([], "a long, b long")
+    met, groups_of = [], neardup.groups_of
+
+    def grouped(members):
+        met.append(members.count())
+        return groups_of(members)
+
+    def pairs_of(most):
+        asked = []
+        met.clear()
+        monkeypatch.setattr(neardup, "ROWS", most)
+
+        def compared(pairs):
+            asked.extend((x["a"], x["b"]) for x in pairs.collect())
+            return none
+
+        neardup.resolve(rows, rows.select("node", "text"), none, none.toDF("node", "root"), compared)
+        assert len(asked) == len(set(asked))
+        return set(asked), list(met)
+
+    monkeypatch.setattr(neardup, "OUTSIDE", 8)
+    monkeypatch.setattr(neardup, "groups_of", grouped)
+    whole, at_once = pairs_of(1 << 22)
+    some, in_slices = pairs_of(max(at_once) // 3)
+    assert whole == some and max(in_slices) <= 2 * max(at_once) // 3 < max(at_once)
+    parts = neardup.sliced(rows, 60 * 6, ["node"], neardup.F.col("size"))
+    assert len(parts) == 4 and sorted(x["node"] for p in parts for x in p.collect()) == list(range(24))
+
+
 def test_near_duplicates_edges(spark, odd):
     assert neardup.group(empty(spark)).count() == 0 and neardup.keep_one(empty(spark)).count() == 0
     got = {r["doc_id"]: r["class_id"] for r in neardup.group(odd).collect()}
