@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns, stats
 
+CHUNK = 1 << 14  # samples of a chunk of features
+
 
 def impute(df: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
     """Missing values become the feature's mean."""
@@ -169,42 +171,72 @@ def thin(df: DataFrame, distance: int) -> DataFrame:
 def pca(df: DataFrame, center: bool = True, scale: bool = False) -> tuple[DataFrame, DataFrame]:
     """Principal components of samples over features (wide rows fid, vals): (scores, statistics).
 
-    The samples x samples Gram matrix is summed over partitions (partial sums in the tasks); only it reaches the
-    driver, so features may be as many as they like.
+    The Gram matrix of samples, or of features where they are fewer, is summed over partitions (partial sums in the
+    tasks); only it reaches the driver. Both have the same eigenvalues. Features meet in chunks of ``CHUNK`` samples, so
+    a task holds that many columns of them; scores are then computed chunk by chunk, when they are asked for.
     """
     spark = df.sparkSession
+    n, size = df.agg(F.count("*"), F.max(F.size("vals"))).first()
+    wide = (size or 0) > n  # more samples than features
+
+    def prepared(b):
+        x = np.array([np.array(v, float) for v in b["vals"]])
+        s = stats.sd(x)
+        x = x[s > 0]
+        if center and len(x):
+            x = x - x.mean(axis=1, keepdims=True)
+        return (x / s[s > 0][:, None] if scale and len(x) else x), s > 0
 
     def gram(batches):
         total, n = None, 0
         for b in batches:
-            x = np.array([np.array(v, float) for v in b["vals"]])
-            s = stats.sd(x)
-            x = x[s > 0]
+            x, _ = prepared(b)
             if not len(x):
                 continue
-            if center:
-                x = x - x.mean(axis=1, keepdims=True)
-            if scale:
-                x = x / s[s > 0][:, None]
             total = x.T @ x if total is None else total + x.T @ x
             n += len(x)
         if total is not None:
-            yield pd.DataFrame({"k": [0], "n": [n], "g": [total.ravel().tobytes()]})
+            yield pd.DataFrame({"n": [n], "g": [total.ravel().tobytes()]})
+
+    def cut(batches):
+        for b in batches:
+            for i in range(len(b)):  # features are long: one at a time
+                x, ok = prepared(b.iloc[i : i + 1])
+                for k in range(0, x.shape[1] if ok.any() else 0, CHUNK):
+                    yield pd.DataFrame({"k": [k // CHUNK], "f": [b["f"].iloc[i]], "vals": [x[0, k : k + CHUNK]]})
 
+    def block(g):
+        return np.array(g.sort_values("f")["vals"].tolist())  # equal names are equal features: all chunks have one order
+
+    def cross(g: pd.DataFrame) -> pd.DataFrame:
+        x = block(g)
+        return pd.DataFrame({"n": [len(x)], "g": [(x @ x.T).ravel().tobytes()]})
+
+    chunks = df.select(F.xxhash64("vals").alias("f"), "vals").mapInPandas(cut, "k int, f long, vals array<double>") if wide else None
+    sums = chunks.groupBy("k").applyInPandas(cross, "n long, g binary") if wide else df.select("vals").mapInPandas(gram, "n long, g binary")
     total, features = 0, 0
-    for r in df.select("vals").mapInPandas(gram, "k int, n long, g binary").toLocalIterator():
-        total, features = total + np.frombuffer(r["g"]), features + r["n"]
+    for r in sums.toLocalIterator():
+        total, features = total + np.frombuffer(r["g"]), r["n"] if wide else features + r["n"]
     if not features:
         raise ValueError("no feature varies")
-    size = int(round(len(total) ** 0.5))
+    samples, size = size, int(round(len(total) ** 0.5))
     values, vectors = np.linalg.eigh(total.reshape(size, size))
     values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
-    k = min(size, features)
-    values, scores = values[:k], vectors[:, :k] * np.sqrt(values[:k])
-    sds, share = np.sqrt(values / max(size - 1, 1)), values / values.sum()
+    k = min(samples, features)
+    values, vectors = values[:k], vectors[:, :k]
+    sds, share = np.sqrt(values / max(samples - 1, 1)), values / values.sum()
     total_share = np.cumsum(share)
     kaiser = int(np.flatnonzero(sds >= 1).max() + 1) if (sds >= 1).any() else 0
     most = max(1, int((total_share < 0.995).sum()))
-    rows = [(j + 1, scores[:, j].tolist()) for j in range(k)]
     info = [(j + 1, float(sds[j]), float(share[j]), float(total_share[j]), kaiser, most) for j in range(k)]
-    return spark.createDataFrame(rows, "pc int, scores array<double>"), spark.createDataFrame(info, "pc int, sd double, prop_var double, cum_prop double, kaiser int, pcs_995 int")
+    if wide:
+        shared = spark.sparkContext.broadcast(vectors)
+
+        def project(g: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"pc": np.arange(1, k + 1), "k": g["k"].iloc[0], "part": list(shared.value.T @ block(g))})
+
+        parts = chunks.groupBy("k").applyInPandas(project, "pc int, k int, part array<double>")
+        scores = parts.groupBy("pc").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x.part)).alias("scores"))
+    else:
+        scores = spark.createDataFrame([(j + 1, (vectors[:, j] * np.sqrt(values[j])).tolist()) for j in range(k)], "pc int, scores array<double>")
+    return scores, spark.createDataFrame(info, "pc int, sd double, prop_var double, cum_prop double, kaiser int, pcs_995 int")

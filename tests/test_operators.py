@@ -94,6 +94,24 @@ def test_pca_and_collapse(spark):
     assert np.allclose(one["g0"]["vals"], y[:2].mean(axis=0)) and one["g0"]["n_phe"] == 2
 
 
+def test_components_hold_the_smaller_side_only(spark, monkeypatch):
+    """Many samples of few features go through in chunks, and no samples x samples matrix is made; nor the other way about."""
+    rng, shapes, eigh = np.random.default_rng(5), [], np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda m: (shapes.append(m.shape), eigh(m))[1])
+    monkeypatch.setattr(matrix, "CHUNK", 70)
+    for features, samples in ((4, 300), (30, 6)):
+        y = rng.normal(size=(features, samples))
+        y[2] = y[1]
+        rows = [y[i].tolist() for i in range(features)] + [[1.0] * samples]
+        scores, info = matrix.pca(spark.createDataFrame([(r,) for r in rows], "vals array<double>"), scale=True)
+        z = (y - y.mean(axis=1, keepdims=True)) / y.std(axis=1, ddof=1, keepdims=True)
+        u, s, _ = np.linalg.svd(z.T, full_matrices=False)
+        info, got = info.orderBy("pc").collect(), np.array([r["scores"] for r in scores.orderBy("pc").collect()])
+        assert len(info) == len(got) == min(features, samples) and shapes[-1] == (min(features, samples),) * 2
+        assert np.allclose([r["sd"] for r in info], s / np.sqrt(samples - 1), atol=1e-7)
+        assert np.allclose(np.abs(got)[s > 1e-6], np.abs(u * s).T[s > 1e-6], atol=1e-8)
+
+
 def test_thin(spark):
     df = spark.createDataFrame([("a", x) for x in (1, 5, 11, 14, 22)] + [("b", 3)], "chr string, pos long")
     assert sorted(map(tuple, matrix.thin(df, 10).collect())) == [("a", 1), ("a", 11), ("a", 22), ("b", 3)]
