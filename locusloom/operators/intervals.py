@@ -91,7 +91,8 @@ def density(anchors: DataFrame, annotations: DataFrame, window: int = 1_000_000,
     hi = F.when(F.col("neg"), F.col("pos") - F.col("astart")).otherwise(F.col("aend") - F.col("pos"))
     at = lambda x: F.floor((x + window) / bin_size)
     last = (2 * window - 1) // bin_size
-    hit = pairs.select("anchor_id", F.explode(F.sequence(F.greatest(at(lo), F.lit(0)), F.least(at(hi), F.lit(last)))).alias("k")).where("k between 0 and " + str(last)).distinct()
+    hit = pairs.select("anchor_id", F.greatest(at(lo), F.lit(0)).alias("a"), F.least(at(hi), F.lit(last)).alias("b")).where("a <= b")  # one that begins at the window's very end is in no bin
+    hit = hit.select("anchor_id", F.explode(F.sequence("a", "b")).alias("k")).distinct()
     bins = anchors.sparkSession.range(last + 1).withColumnRenamed("id", "k")
     counted = bins.join(hit.groupBy("k").agg(F.count("*").alias("n")), "k", "left")
     return counted.select((F.col("k") * bin_size - window).alias("from"), (F.col("k") * bin_size - window + bin_size - 1).alias("to"), F.coalesce("n", F.lit(0)).alias("n"))

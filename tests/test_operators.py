@@ -112,6 +112,14 @@ def test_components_hold_the_smaller_side_only(spark, monkeypatch):
         assert np.allclose(np.abs(got)[s > 1e-6], np.abs(u * s).T[s > 1e-6], atol=1e-8)
 
 
+def test_density_at_the_ends_of_the_window(spark):
+    """An annotation that begins at the very end of the window is in no bin, on either strand; one at its start is."""
+    a = spark.createDataFrame([(1, "c", 1000, False), (2, "c", 5000, True)], "anchor_id long, chr string, pos long, neg boolean")
+    b = spark.createDataFrame([("c", 1200, 1210), ("c", 4790, 4800), ("c", 795, 800)], "chr string, start long, end long")
+    got = {r["from"]: r["n"] for r in intervals.density(a, b, 200, 25).collect()}
+    assert got == {f: int(f == -200) for f in range(-200, 200, 25)}
+
+
 def test_thin(spark):
     df = spark.createDataFrame([("a", x) for x in (1, 5, 11, 14, 22)] + [("b", 3)], "chr string, pos long")
     assert sorted(map(tuple, matrix.thin(df, 10).collect())) == [("a", 1), ("a", 11), ("a", 22), ("b", 3)]
