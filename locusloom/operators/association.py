@@ -191,18 +191,19 @@ def phenotype_blocks(phenotypes: DataFrame, kernel=None):
 TRANS = "kind string, pid string, pchr string, pstart long, vid string, vchr string, vpos long, nom_pval double, r double, slope double, bin long, n long"
 
 
-def trans(phenotypes: DataFrame, genotypes: DataFrame, window: int = 5_000_000, threshold: float = 1e-5, bins: int = 1000, shuffle_seed: int | None = None, null: tuple[float, float] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def trans(phenotypes: DataFrame, genotypes: DataFrame, window: int = 5_000_000, threshold: float = 1e-5, bins: int = 1000, shuffle_seed: int | None = None, null: tuple[float, float] | None = None, limit: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every pair outside the cis window: (hits, histogram of the others, best variant of each phenotype).
 
     The threshold on p is turned into one on |r| once. Each task multiplies its genotypes with a broadcast block of
     phenotypes and returns hits, bin counts and best pairs only. ``shuffle_seed`` permutes the samples of all
-    phenotypes alike. With ``null`` (two beta shapes) the threshold is on the adjusted p-value.
+    phenotypes alike. With ``null`` (two beta shapes) the threshold is on the adjusted p-value. ``limit`` is a threshold
+    on |r| itself, in place of one on p.
     """
     spark, parts = phenotypes.sparkSession, None
     n = phenotypes.select(F.size("vals")).first()
     n = n[0] if n else 3
     p0 = float(stats.qbeta(threshold, *null)) if null else threshold
-    limit = float(stats.r_threshold(p0, n - 2))
+    limit = float(stats.r_threshold(p0, n - 2)) if limit is None else limit
     order = np.random.default_rng(shuffle_seed).permutation(n) if shuffle_seed is not None else None
     for block in phenotype_blocks(phenotypes, (lambda x: x[:, order]) if order is not None else None):
         shared = spark.sparkContext.broadcast(block)

@@ -47,5 +47,14 @@ def test_statistics_are_compared_with_themselves_not_with_a_second_sum(name, spa
     assert plan.count("Join ") == 1 and plan.count("corr(") == 1
 
 
+@pytest.mark.parametrize("name", ["trans_histogram"])
+def test_threshold_is_that_of_the_sql_at_other_numbers_of_samples(name, spark, tmp_path):
+    c = duckdb.connect()
+    c.sql(f"copy (select * from '{SF}/embeddings.parquet' where vec_id < 120) to '{tmp_path}/embeddings.parquet' (format parquet)")
+    c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    df, want = __spark_entry__.queries()[name](spark, str(tmp_path)), c.sql(__spark_entry__.oracle_sql()[name])
+    assert plain(df.collect(), df.columns) == plain(want.fetchall(), want.columns)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).limit(1).count() == 1
