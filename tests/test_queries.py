@@ -47,7 +47,7 @@ def test_statistics_are_compared_with_themselves_not_with_a_second_sum(name, spa
     assert plan.count("Join ") == 1 and plan.count("corr(") == 1
 
 
-@pytest.mark.parametrize("name", ["trans_histogram"])
+@pytest.mark.parametrize("name", ["trans_histogram", "trans_hits"])
 def test_threshold_is_that_of_the_sql_at_other_numbers_of_samples(name, spark, tmp_path):
     c = duckdb.connect()
     c.sql(f"copy (select * from '{SF}/embeddings.parquet' where vec_id < 120) to '{tmp_path}/embeddings.parquet' (format parquet)")
