@@ -23,13 +23,20 @@ def region_of(variants: DataFrame, tiling: DataFrame, bin_size: int = 1_000_000)
     return out.withColumn("region", F.coalesce("idx", F.when(F.col("pos") >= F.col("tail_start"), F.col("tail_idx")), F.when(F.col("tchr").isNull(), -4).when(F.col("pos") > F.col("top"), -1).otherwise(-2)).cast("long")).select(*variants.columns, "region")
 
 
-def colocated(gwas: DataFrame, qtls: DataFrame, window: int, to: str = "phenotype") -> DataFrame:
+def colocated(gwas: DataFrame, qtls: DataFrame, window: int, to: str = "phenotype", listed: bool = True) -> DataFrame:
     """GWAS variants (gwas_vid, chr, gpos) within a window of QTLs (qtl_vid, pid, qchr, qpos, ppos): of the phenotype's
-    start, or of the QTL's variant; with the other signals of the phenotype."""
+    start, or of the QTL's variant; with the other signals of the phenotype (``others``), or, if not ``listed``, only their
+    number (``n_others``): lists grow with the square of a phenotype's signals.
+
+    Either is joined to the pairs that were found, after the range join.
+    """
     at = F.col("ppos") if to == "phenotype" else F.col("qpos")
+    found = range_join(gwas, qtls, "chr", F.col("gpos") - window, F.col("gpos") + window, "qchr", at, at, window)
+    if not listed:
+        n = qtls.groupBy("pid").agg(F.count_distinct("qtl_vid").alias("_n"))
+        return found.join(n, "pid").withColumn("n_others", F.col("_n") - F.col("qtl_vid").isNotNull().cast("long")).drop("_n")
     others = qtls.groupBy("pid").agg(F.collect_set("qtl_vid").alias("_all"))
-    q = qtls.join(others, "pid").withColumn("others", F.array_sort(F.array_except("_all", F.array("qtl_vid")))).drop("_all")
-    return range_join(gwas, q, "chr", F.col("gpos") - window, F.col("gpos") + window, "qchr", at, at, window)
+    return found.join(others, "pid").withColumn("others", F.array_sort(F.array_except("_all", F.array("qtl_vid")))).drop("_all")
 
 
 def paired_signals(a: DataFrame, b: DataFrame, window: int | None = None) -> DataFrame:

@@ -120,6 +120,15 @@ def test_density_at_the_ends_of_the_window(spark):
     assert got == {f: int(f == -200) for f in range(-200, 200, 25)}
 
 
+def test_other_signals_are_counted_without_lists(spark):
+    w = spark.createDataFrame([(1, "c", 100), (2, "c", 500), (3, "d", 100)], "gwas_vid long, chr string, gpos long")
+    q = spark.createDataFrame([(10, 7, "c", 90, 95), (11, 7, "c", 480, 470), (11, 7, "c", 130, 130), (12, 7, "d", 9, 9), (13, 8, "c", 120, 110), (None, 7, "c", 101, 101)], "qtl_vid long, pid long, qchr string, qpos long, ppos long")
+    listed = coloc.colocated(w, q, 40).select("gwas_vid", "qtl_vid", F.size("others").alias("n"))
+    counted = coloc.colocated(w, q, 40, listed=False)
+    assert sorted(map(str, listed.collect())) == sorted(map(str, counted.select("gwas_vid", "qtl_vid", F.col("n_others").alias("n")).collect()))
+    assert listed.count() == 5 and "collect_set" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_thin(spark):
     df = spark.createDataFrame([("a", x) for x in (1, 5, 11, 14, 22)] + [("b", 3)], "chr string, pos long")
     assert sorted(map(tuple, matrix.thin(df, 10).collect())) == [("a", 1), ("a", 11), ("a", 22), ("b", 3)]
