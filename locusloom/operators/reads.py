@@ -66,6 +66,44 @@ def pileup_reason(min_mapq: int = 10, keep_duplicates: bool = False, keep_failed
     return waterfall([*tests, ("MAPQ", F.col("mapq") < min_mapq)])
 
 
+def flags_pass(bad: int, pair_bad: int = 0, pair_needs: int = 0, strands: bool = False) -> Column:
+    """Whether a read has no bit of ``bad`` and, if paired, none of ``pair_bad``, all of ``pair_needs`` and, with
+    ``strands``, another strand than its mate; true without a flag.
+
+    The flag is named once: a filter takes in the expression behind it as often as it is named, and code that grows too
+    large for the JVM's compiler is an order of magnitude slower.
+    """
+    mask = bad | pair_bad | pair_needs | PAIRED | ((REVERSE | MATE_REVERSE) if strands else 0)
+
+    def ok(f: int) -> bool:
+        pair = not f & pair_bad and f & pair_needs == pair_needs and not (strands and bool(f & REVERSE) == bool(f & MATE_REVERSE))
+        return not f & bad and (pair or not f & PAIRED)
+
+    return F.coalesce(F.col("flag").bitwiseAND(mask).isin([f for f in range(mask + 1) if f & ~mask == 0 and ok(f)]), F.lit(True))
+
+
+def stat_passes(min_mapq: int = 10, keep_duplicates: bool = False) -> Column:
+    """Whether ``stat_reason`` is PASS."""
+    flags = flags_pass(UNMAPPED | SECONDARY | FAILED | (0 if keep_duplicates else DUPLICATE), MATE_UNMAPPED, PROPER, True)
+    return flags & F.coalesce(F.col("mapq") >= min_mapq, F.lit(True))
+
+
+def quant_passes(min_mapq: int = 10, max_mismatch: float | None = None, proper: bool = False, keep_failed: bool = False, keep_duplicates: bool = False) -> Column:
+    """Whether ``quant_reason`` is PASS."""
+    bad = SECONDARY | SUPPLEMENTARY | UNMAPPED | (0 if keep_failed else FAILED) | (0 if keep_duplicates else DUPLICATE)
+    out = flags_pass(bad, MATE_UNMAPPED, PROPER if proper else 0) & F.coalesce(F.col("mapq") >= min_mapq, F.lit(True))
+    if max_mismatch is not None:
+        out = out & F.coalesce(columns.mismatches(F.col("tags")) <= (max_mismatch if max_mismatch >= 1 else F.length("seq") * max_mismatch), F.lit(True))
+    return out
+
+
+def pileup_passes(min_mapq: int = 10, keep_duplicates: bool = False, keep_failed: bool = False, keep_orphans: bool = False, proper: bool = True) -> Column:
+    """Whether ``pileup_reason`` is PASS."""
+    bad = UNMAPPED | SECONDARY | SUPPLEMENTARY | (0 if keep_failed else FAILED) | (0 if keep_duplicates else DUPLICATE)
+    flags = flags_pass(bad, 0 if keep_orphans else MATE_UNMAPPED, PROPER if proper else 0, not keep_orphans)
+    return flags & F.coalesce(F.col("mapq") >= min_mapq, F.lit(True))
+
+
 def count_reasons(df: DataFrame, reason: Column) -> DataFrame:
     return df.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
@@ -75,9 +113,9 @@ def alignment_stats(reads: DataFrame, annotations: DataFrame, min_mapq: int = 10
 
     Of paired reads only names seen exactly twice go on to the overlaps; read 1 and read 2 count once each.
     """
-    marked = reads.withColumn("reason", stat_reason(min_mapq, keep_duplicates))
-    totals = marked.agg(F.count("*").alias("total"), F.count_if(F.col("reason") == "PASS").alias("kept"))
-    named = marked.where("reason = 'PASS'").withColumn("_n", F.count("*").over(Window.partitionBy("qname", has(PAIRED))))
+    kept = stat_passes(min_mapq, keep_duplicates)
+    totals = reads.agg(F.count("*").alias("total"), F.count_if(kept).alias("kept"))
+    named = reads.where(kept).select("qname", "flag", "chr", "pos", "cigar").withColumn("_n", F.count("*").over(Window.partitionBy("qname", has(PAIRED))))
     alive = named.where(~has(PAIRED) | (F.col("_n") == 2))
     blocks = alive.select("qname", (has(SECOND)).alias("second"), F.col("chr").alias("bchr"), F.explode(columns.cigar_blocks(F.col("cigar"), F.col("pos"))).alias("b")).select("qname", "second", "bchr", F.col("b.start").alias("bstart"), F.col("b.end").alias("bend"))
     a = annotations.select(F.monotonically_increasing_id().alias("aid"), "chr", "start", "end") if "aid" not in annotations.columns else annotations.select("aid", "chr", "start", "end")
@@ -92,7 +130,7 @@ def pileup(reads: DataFrame, sites: DataFrame, min_baseq: int = 10, min_mapq: in
 
     base and qual are null where the read has a deletion or skips the site.
     """
-    kept = reads.where(pileup_reason(min_mapq, **how) == "PASS")
+    kept = reads.where(pileup_passes(min_mapq, **how))
     # query offset of each aligned block
     ops = F.regexp_extract_all("cigar", F.lit(r"\d+[MIDNSHP=X]"), F.lit(0))
     zero = F.struct(F.lit(1).cast("long").alias("q"), F.col("pos").cast("long").alias("r"), F.array().cast("array<struct<start:bigint,end:bigint,q:bigint>>").alias("out"))
@@ -164,7 +202,7 @@ def quantify(reads: DataFrame, exons: DataFrame, bin_size: int = 100_000, consis
     """
     marked = reads.withColumn("reason", quant_reason(**how))
     name, fwd = Window.partitionBy("qname"), ~F.col("rev")
-    ok = marked.where("reason = 'PASS'").select("qname", has(REVERSE).alias("rev"), F.col("chr").alias("bchr"), "pos", "cigar")
+    ok = reads.where(quant_passes(**how)).select("qname", has(REVERSE).alias("rev"), F.col("chr").alias("bchr"), "pos", "cigar")
     ok = ok.withColumns({"_n": F.count("*").over(name), "_rev": F.count_if("rev").over(name), "_one": F.min("bchr").over(name) == F.max("bchr").over(name), "_fwd": F.min(F.when(fwd, F.col("pos"))).over(name), "_bwd": F.min(F.when(F.col("rev"), F.col("pos"))).over(name)})
     pairs = ok.where("_n = 2 and _rev = 1 and _one and _bwd >= _fwd")
     all_blocks = columns.cigar_blocks(F.col("cigar"), F.col("pos"))

@@ -129,6 +129,21 @@ def test_other_signals_are_counted_without_lists(spark):
     assert listed.count() == 5 and "collect_set" not in counted._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_filters_of_reads_name_the_flag_once_and_agree_with_reasons(spark):
+    df = spark.range(4096).select(F.col("id").cast("int").alias("flag")).union(spark.createDataFrame([(None,)], "flag int"))
+    df = df.crossJoin(spark.createDataFrame([(9, "NM:i:4"), (10, "NM:i:2"), (None, "")], "mapq int, tags string")).withColumn("seq", F.lit("ACGTACGTAC"))
+    several = [
+        (reads.stat_reason, reads.stat_passes, [{}, {"keep_duplicates": True}]),
+        (reads.quant_reason, reads.quant_passes, [{}, {"proper": True, "max_mismatch": 3}, {"max_mismatch": 0.3}, {"keep_failed": True, "keep_duplicates": True}]),
+        (reads.pileup_reason, reads.pileup_passes, [{}, {"keep_orphans": True}, {"proper": False, "keep_failed": True}, {"keep_duplicates": True}]),
+    ]
+    cases = [(why(**how) == "PASS", passes(**how)) for why, passes, hows in several for how in hows]
+    got = df.agg(*[F.count_if(~a.eqNullSafe(b)).alias(f"d{i}") for i, (a, b) in enumerate(cases)], *[F.count_if(b).alias(f"n{i}") for i, (_, b) in enumerate(cases)]).first().asDict()
+    assert all(got[f"d{i}"] == 0 and got[f"n{i}"] for i in range(len(cases)))
+    kept = df.where(reads.quant_passes())._jdf.queryExecution().optimizedPlan().toString()
+    assert kept.split("Filter ")[1].split("\n")[0].count("id#") == 1
+
+
 def test_thin(spark):
     df = spark.createDataFrame([("a", x) for x in (1, 5, 11, 14, 22)] + [("b", 3)], "chr string, pos long")
     assert sorted(map(tuple, matrix.thin(df, 10).collect())) == [("a", 1), ("a", 11), ("a", 22), ("b", 3)]
