@@ -17,6 +17,7 @@ from ..functions import columns, stats
 from .intervals import range_join
 
 BROADCAST_BYTES = 256 << 20
+BLOCK_BYTES = 32 << 20  # of rows that a task multiplies at once
 
 
 def pair_stats(pairs: DataFrame, by: list[str], x: str = "gv", y: str = "pv") -> DataFrame:
@@ -56,7 +57,9 @@ def cis_nominal(phenotypes: DataFrame, variants: DataFrame, p_long: DataFrame, g
 
 
 def _block(g: pd.DataFrame, column: str) -> np.ndarray:
-    return stats.unit(stats.impute(np.array([np.array(v, float) for v in g[column]])))
+    """Unit rows of an array column, made row by row: rows may be long."""
+    out = [stats.unit(stats.impute(np.array(v, float)[None])) for v in g[column]]
+    return np.concatenate(out) if out else np.empty((0, 0))
 
 
 def _grouped(phenotypes: DataFrame, variants: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
@@ -212,9 +215,7 @@ def trans(phenotypes: DataFrame, genotypes: DataFrame, window: int = 5_000_000,
             ids, chroms, starts, y, sds = shared.value
             hist = np.zeros(bins, np.int64)
             best_r, best_v = np.zeros(len(ids)), np.full(len(ids), None, object)
-            for b in batches:
-                if not len(b):
-                    continue
+            for b in (b.iloc[i : i + step] for b in batches if len(b) for step in [max(1, BLOCK_BYTES // (8 * n))] for i in range(0, len(b), step)):
                 raw = stats.impute(np.array([np.array(v, float) for v in b["gvals"]]))
                 r = stats.unit(raw) @ y.T
                 sg = stats.sd(raw)
@@ -258,11 +259,14 @@ def sampled_null(phenotypes: DataFrame, n: int = 1000, seed: int = 15112011) ->
     draws = phenotypes.sparkSession.range(n).select(F.col("id").alias("_draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(total, 1))).alias("_i"))
     rows = draws.join(numbered, "_i").join(phenotypes, "pid")
 
-    @F.pandas_udf("array<double>")
-    def shuffled(draw: pd.Series, vals: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng([seed, int(d)]).permutation(np.array(v, float)) for d, v in zip(draw, vals, strict=True)])
+    def shuffled(g: pd.DataFrame) -> pd.DataFrame:
+        g["vals"] = [np.random.default_rng([seed, int(d)]).permutation(np.array(v, float)) for d, v in zip(g["_draw"], g["vals"], strict=True)]
+        return g
 
-    return rows.withColumn("vals", shuffled("_draw", "vals")).withColumn("pid", F.concat("pid", F.lit("#"), F.col("_draw"))).drop("_draw", "_i")
+    # a group is one draw: a batch of many rows could hold a large share of the table
+    rows = rows.withColumn("vals", F.col("vals").cast("array<double>"))
+    rows = rows.groupBy("_draw").applyInPandas(shuffled, rows.schema)
+    return rows.withColumn("pid", F.concat("pid", F.lit("#"), F.col("_draw"))).drop("_draw", "_i")
 
 
 def beta_null(p_values: DataFrame, column: str = "nom_pval", most: int = 1_000_000) -> tuple[float, float]:

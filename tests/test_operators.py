@@ -144,6 +144,17 @@ def test_filters_of_reads_name_the_flag_once_and_agree_with_reasons(spark):
     assert kept.split("Filter ")[1].split("\n")[0].count("id#") == 1
 
 
+def test_blocks_bound_trans_passes_and_change_nothing(spark, monkeypatch):
+    """Rows are multiplied in blocks of bounded bytes, one at a time if need be; draws don't depend on blocks."""
+    p, g, _, _ = wide(spark)
+    plain = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+    run = lambda: [sorted(map(plain, df.collect())) for df in association.trans(association.sampled_null(p, 5), g, -1, 0.3, 7)]
+    want = run()
+    monkeypatch.setattr(association, "BLOCK_BYTES", 1)
+    assert run() == want
+    assert association.sampled_null(p, 5)._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
+
+
 def test_thin(spark):
     df = spark.createDataFrame([("a", x) for x in (1, 5, 11, 14, 22)] + [("b", 3)], "chr string, pos long")
     assert sorted(map(tuple, matrix.thin(df, 10).collect())) == [("a", 1), ("a", 11), ("a", 22), ("b", 3)]
