@@ -93,8 +93,9 @@ def cis_permute(phenotypes: DataFrame, variants: DataFrame, window: int = 1_000_
         i, j = divmod(int(order[0]), len(gg))
         rng = np.random.default_rng([seed, *np.frombuffer(str(key[0]).encode(), np.uint8).tolist()])
         null = []
-        for a in range(0, permutations, 64):
-            perms = np.array([rng.permutation(n) for _ in range(min(64, permutations - a))])
+        step = min(64, max(1, BLOCK_BYTES // (8 * n * (len(pg) + 1))))
+        for a in range(0, permutations, step):
+            perms = np.array([rng.permutation(n) for _ in range(min(step, permutations - a))])
             rp = np.einsum("spn,vn->spv", y[:, perms].transpose(1, 0, 2), x).reshape(len(perms), -1)
             null.append(rp[np.arange(len(perms)), np.abs(rp).argmax(axis=1)])
         null = np.concatenate(null)

@@ -155,6 +155,16 @@ def test_blocks_bound_trans_passes_and_change_nothing(spark, monkeypatch):
     assert association.sampled_null(p, 5)._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
 
 
+def test_permutations_go_in_blocks_of_bounded_bytes(spark, monkeypatch):
+    """One at a time, if rows are long; the draws and results are the same."""
+    p, g, _, _ = wide(spark)
+    plain = lambda r: tuple(round(v, 6) if isinstance(v, float) else v for v in r)
+    run = lambda: sorted(map(plain, association.cis_permute(p, g, 100, 70).collect()))
+    want = run()
+    monkeypatch.setattr(association, "BLOCK_BYTES", 1)
+    assert run() == want and any(r[4] for r in want)
+
+
 def test_thin(spark):
     df = spark.createDataFrame([("a", x) for x in (1, 5, 11, 14, 22)] + [("b", 3)], "chr string, pos long")
     assert sorted(map(tuple, matrix.thin(df, 10).collect())) == [("a", 1), ("a", 11), ("a", 22), ("b", 3)]
