@@ -77,12 +77,14 @@ def matched_bins(qtls: DataFrame, candidates: DataFrame, bin_distance: int = 500
 
         bins = []
         for q in batches:
+            rows = []
             for i, m, d in zip(q["qtl_id"], q["maf"], q["dist"], strict=True):
                 k = next((k for k, b in enumerate(bins) if b[0] <= m < b[1] and b[2] <= d < b[3]), None)
                 if k is None:
                     k = len(bins)
                     bins.append((max(0.0, m - bin_maf), min(0.5, m + bin_maf) if m < 0.5 else 0.5 + 1e-9, d - bin_distance, d + bin_distance))
-                yield pd.DataFrame({"bin": [k], "qtl_id": [i], "maf_lo": [bins[k][0]], "maf_hi": [bins[k][1]], "dist_lo": [bins[k][2]], "dist_hi": [bins[k][3]]})
+                rows.append((k, i, *bins[k]))
+            yield pd.DataFrame(rows, columns=["bin", "qtl_id", "maf_lo", "maf_hi", "dist_lo", "dist_hi"])
 
     schema = "bin long, qtl_id string, maf_lo double, maf_hi double, dist_lo double, dist_hi double"
     placed = qtls.select("qtl_id", "maf", "dist").coalesce(1).sortWithinPartitions("qtl_id").mapInPandas(open_bins, schema)
@@ -95,11 +97,13 @@ def matched_bins(qtls: DataFrame, candidates: DataFrame, bin_distance: int = 500
 
 def matched_enrichment(bins: DataFrame, hits: DataFrame, total: int, permutations: int = 1000, seed: int = 15112011) -> DataFrame:
     """Overlap of QTLs with ``hits`` (id), against random candidates of the same bins; ``total``: all QTLs."""
-    one = bins.select("nulls", F.explode("qtls").alias("qtl_id"))
+    one = bins.select("bin", F.size("nulls").cast("long").alias("n"), F.explode("qtls").alias("qtl_id"))
     observed = one.join(hits, one.qtl_id == hits.id, "left_semi").count()
     draws = one.crossJoin(bins.sparkSession.range(permutations).withColumnRenamed("id", "k"))
-    draws = draws.select("k", F.element_at("nulls", (F.pmod(F.xxhash64(F.lit(seed), "k", "qtl_id"), F.size("nulls").cast("long")) + 1).cast("int")).alias("id"))
-    got = draws.join(hits, "id", "left_semi").groupBy("k").agg(F.count("*").alias("n"))
+    draws = draws.select("k", "bin", F.pmod(F.xxhash64(F.lit(seed), "k", "qtl_id"), "n").cast("int").alias("i"))
+    # a draw is a place in the bin's list: the lists themselves are not copied for each QTL
+    there = bins.select("bin", F.posexplode("nulls").alias("i", "id")).join(hits, "id", "left_semi").select("bin", "i")
+    got = draws.join(there, ["bin", "i"]).groupBy("k").agg(F.count("*").alias("n"))
     null = bins.sparkSession.range(permutations).withColumnRenamed("id", "k").join(got, "k", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
     return empirical(null, F.lit(observed).cast("double"), F.lit(total).cast("double"))
 

@@ -165,6 +165,17 @@ def test_permutations_go_in_blocks_of_bounded_bytes(spark, monkeypatch):
     assert run() == want and any(r[4] for r in want)
 
 
+def test_matched_draws_are_places_in_a_bin(spark):
+    """The draws are those of the bins' lists, but the lists are not carried to each of them."""
+    bins = spark.createDataFrame([(0, ["a", "b"], ["n1", "n2", "n3"]), (4, ["c"], ["n4", "n5", "n6", "n7"])], "bin long, qtls array<string>, nulls array<string>")
+    hits = spark.createDataFrame([("n1",), ("n6",), ("n6",), ("c",)], "id string")
+    draw = F.element_at("nulls", (F.pmod(F.xxhash64(F.lit(3), "k", "q"), F.size("nulls").cast("long")) + 1).cast("int"))
+    want = bins.select("nulls", F.explode("qtls").alias("q")).crossJoin(spark.range(50).withColumnRenamed("id", "k")).select(draw.alias("id")).where("id in ('n1', 'n6')").count()
+    out = enrichment.matched_enrichment(bins, hits, 3, 50, 3)
+    assert abs(out.first()["null_mean"] - want / 50) < 1e-12 and out.first()["obs"] == 1
+    assert "element_at(nulls" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_thin(spark):
     df = spark.createDataFrame([("a", x) for x in (1, 5, 11, 14, 22)] + [("b", 3)], "chr string, pos long")
     assert sorted(map(tuple, matrix.thin(df, 10).collect())) == [("a", 1), ("a", 11), ("a", 22), ("b", 3)]
